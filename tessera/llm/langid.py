@@ -152,13 +152,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> ByteCNN:
     return net.fit(windows, target) if len(labels) > 1 else net
 
 
-def predicted(docs: DataFrame, net: ByteCNN) -> DataFrame:
-    """``docs`` (doc_id, text and what else there is) with lang_pred and score; the text alone decides.
+def predicted(docs: DataFrame, net: ByteCNN, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (text and what else there is) with a language and its score in columns of these names; the text alone decides.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text where nothing
     could be learned.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in names]
     kinds = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +187,9 @@ def predicted(docs: DataFrame, net: ByteCNN) -> DataFrame:
                         group, held = [], 0
             if group:
                 flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
-    return docs.select(*keep).mapInArrow(run, T.StructType([*kinds.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.select(*keep).mapInArrow(run, T.StructType([*kinds.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
@@ -198,6 +198,18 @@ def identify(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     return predicted(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, least: float, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a letter and whose language scores ``least`` or more.
+
+    Where nothing could be learned (no labelled rows) the score says nothing, and rows with a letter stay.
+    """
+    net = fit(docs, sample, seed)
+    if len(net.labels) < 2:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = ("_tessera_language", "_tessera_score")
+    return predicted(docs, net, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*[f"`{c}`" for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the language of every document."""
     return identify(table(spark, sf_dir, "documents"))

@@ -83,3 +83,64 @@ def op10(rows, window=50):
                 gone[i : i + window] = [True] * window
         out.append((doc, len(words), sum(gone), hashlib.sha256(" ".join(w for w, g in zip(words, gone) if not g).encode()).hexdigest()))
     return sorted(out)
+
+
+def op6(pages):
+    import base64
+
+    groups = defaultdict(list)
+    for key, html in pages:
+        groups[html or ""].append(key)
+    out = []
+    for html, keys in groups.items():
+        raw = html.encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        out += [(k, len(raw), digest, "response" if k == max(keys) else "revisit", None if k == max(keys) else max(keys)) for k in keys]
+    return sorted(out)
+
+
+def op7_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def op7_base(text, phrases):
+    words = op7_words(text)
+    places = [(i, label) for p, label in phrases for w in [p.split()] for i in range(len(words)) if words[i : i + len(w)] == w]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))
+
+
+def op7_method(text, templates, common, threshold=0.8, block=64):
+    """Labels and best containment, from every block and template."""
+    import math
+
+    words = op7_words(text)
+    hits, best = set(), 0.0
+    for at in range(0, max(1, len(words)), block // 2):
+        own = set(words[at : at + block])
+        for wording, label in templates:
+            need = set(wording.split()) - common
+            if len(own & need) >= max(1, math.ceil(threshold * len(need) - 1e-9)):
+                hits.add(label)
+                best = max(best, len(own & need) / len(need))
+    return hits, best
+
+
+def op4(rows, items, size=8, least=13):
+    """(doc, item) of literal matches: words without ASCII punctuation, windows on one alignment."""
+    norm = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w]
+    index = defaultdict(set)
+    length = {}
+    for item, text in items:
+        words = norm(text)
+        length[item] = len(words)
+        for i in range(len(words) - size + 1):
+            index[tuple(words[i : i + size])].add((item, i))
+    out = set()
+    for doc, text in rows:
+        words, found = norm(text or ""), defaultdict(set)
+        for i in range(len(words) - size + 1):
+            for item, k in index.get(tuple(words[i : i + size]), ()):
+                found[item, i - k] |= set(range(k, k + size))
+        out |= {(doc, item) for (item, _), covered in found.items() if len(covered) >= min(least, length[item])}
+    return out
