@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import rouge_tokens
 
@@ -86,12 +87,12 @@ def union_lcs_hits(reference: list[list[str]], prediction: list[list[str]]) -> i
     return hits
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_hits(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(p), list(r)) for p, r in zip(prediction, reference)], dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lsum_hits(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([union_lcs_hits([list(s) for s in r], [list(s) for s in p]) for p, r in zip(prediction, reference)], dtype="int64")
 
