@@ -69,13 +69,16 @@ class ByteCNN:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ByteCNN:
+    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ByteCNN:
+        """Adam over whole passes of the windows, ``steps`` batches or the rest of that pass, at a rate that falls to nothing."""
         rng = np.random.default_rng(seed)
+        a_pass = max(1, -(-len(windows) // batch))
+        epochs = -(-steps // a_pass)
         names = ("embed", "kernel", "bias", "dense", "shift")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
         step = 0
-        for epoch in range(epochs):
+        for _ in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
@@ -100,7 +103,7 @@ class ByteCNN:
                 grads["embed"] = np.stack([np.bincount(own, spread[:, e], 256) for e in range(EMBEDDING)], axis=1).astype(np.float32)
                 grads["embed"][0] = 0
                 step += 1
-                pace = rate * (0.5 ** (epoch // 2))
+                pace = rate * (1 - (step - 1) / (epochs * a_pass))
                 for k in names:
                     first[k] = 0.9 * first[k] + 0.1 * grads[k]
                     second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
