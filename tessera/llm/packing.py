@@ -214,7 +214,8 @@ def pack(docs: DataFrame, tokenizer: str, cap: int = CAP, separator: int = SEPAR
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, tokenizer, cap, separator, text, doc_id))
     salts = partitions(spark)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # the pieces are stored, so their partitions are the same each time they are read; repeated rows differ by them
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(salts)))
     sizes = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     plan, _ = plan_sequences({r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}, cap)
     before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
