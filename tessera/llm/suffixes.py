@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import superwindows as sw
 from .shared import table
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Depth of the multikey steps in bytes.
 SHALLOW = 16
 #: Bytes of text that are scanned at a time; longer texts are scanned in overlapping parts.
@@ -28,15 +28,14 @@ BLOCK = 1 << 20
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on."""
-    n = len(raw)
-    if n < GRAM:
+    """A hash of the GRAM bytes from each place on, eight bytes at a time."""
+    n = len(raw) - GRAM + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    x = sw.mix(np.ndarray((n - 7,), "<u8", raw.tobytes(), 0, (1,)))
-    span = 8
-    while span < GRAM:
-        x = sw.mix(x[:-span] * np.uint64(0xC2B2AE3D27D4EB4F) + x[span:])
-        span *= 2
+    words = sw.mix(np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), 0, (1,)))
+    x = words[:n]
+    for k in range(8, GRAM, 8):
+        x = sw.mix(x * np.uint64(0xC2B2AE3D27D4EB4F) + words[k : k + n])
     return x
 
 
@@ -181,7 +180,7 @@ def kept(length: int):
         if not len(starts):
             return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
         gone = sw.spans(len(raw), starts, counts, length)
-        n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
         return len(raw), int(gone.sum()), n_spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
     return make
@@ -190,10 +189,12 @@ def kept(length: int):
 def removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The dealt texts, and (key, removed) with the (start, count) of strings of ``length`` bytes that occur earlier."""
     if not GRAM <= length <= GRAM + 200:
-        raise ValueError("length must be from 32 to 232 bytes")
+        raise ValueError(f"length must be from {GRAM} to {GRAM + 200} bytes")
     texts = sw.dealt(docs)
-    back = sw.repeated(sw.runs(texts, scan(length)))
-    return texts, sw.earlier(sw.packed(texts, back, cover(length), within=True), find(length))
+    copied = sw.copies(docs)
+    own = sw.originals(texts, copied)
+    back = sw.repeated(sw.runs(own, scan(length)))
+    return texts, sw.with_copies(sw.earlier(sw.packed(texts, back, cover(length), within=True), find(length), within=True), copied)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -130,8 +130,10 @@ def removed(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     if not GRAM <= window <= GRAM + 200:
         raise ValueError("window must be from 16 to 216 words")
     texts = sw.dealt(docs)
-    back = sw.repeated(sw.runs(texts, scan(window)))
-    return texts, sw.earlier(sw.packed(texts, back, cover(window), within=False), find(window))
+    copied = sw.copies(docs)
+    own = sw.originals(texts, copied)
+    back = sw.repeated(sw.runs(own, scan(window)))
+    return texts, sw.with_copies(sw.earlier(sw.packed(texts, back, cover(window), within=False), find(window), within=False), copied)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

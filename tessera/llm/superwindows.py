@@ -4,32 +4,40 @@ Consecutive windows that share their least k-gram (minimiser) form a run. Equal
 equal minimisers at equal places, so a window can only occur twice where its run's minimiser
 does. The steps, all keyed by hashes and none of them over all pairs:
 
-1. texts are dealt by document once; that exchange is read by steps 2, 4 and 6,
+1. texts are dealt by document once; that exchange is read by steps 2, 4 and 6. Whole copies of
+   the text of a smaller doc_id are found by digest, and take part in the last step only,
 2. runs: the hash of each run's minimiser,
 3. runs whose minimiser occurs once are done with; the others go back to their document,
 4. their super-windows (the text that a run's windows cover) travel to the minimiser's bucket,
 5. the bucket finds the windows that occur earlier, exactly, by content,
 6. each document puts its windows together.
 
-Copies are folded wherever rows are made: a batch sends one run of a minimiser and one of a
+Copies are folded wherever rows are made: a batch sends one row of a minimiser and one of a
 super-window, and marks the others by itself. So a passage that a third of all rows hold gives
-a bucket as many rows as there were batches, not as many as there are documents.
+a bucket as many rows as there were batches, not as many as there are documents. Super-windows
+at the edges of such a passage differ, though, and would all meet at its minimisers. Minimisers
+of more than HOT runs therefore make no bucket: each window of their runs goes to the bucket of
+its own 128-bit digest, where only windows equal to it meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import cut, partitions
 
 #: A run as one long: its first window, the number of windows, and the minimiser's distance from the first.
 COUNT_BITS = 8
 LAST = (1 << 63) - 1
+#: Runs of one minimiser in the corpus beyond which their windows are dealt by digest, and a digest's bytes.
+HOT, DIGEST = 10_000, 16
 LOW = np.uint64(0xFFFFFF)
 
 
@@ -82,30 +90,52 @@ def dealt(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.xxhash64(id_, body).alias("key"), id_.alias("doc_id"), body.alias("text")).repartition(partitions(docs.sparkSession), "key")
 
 
+def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(key) of each row whose text a smaller doc_id has too. Digests are summed before they are shuffled, and texts stay where they are."""
+    id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.xxhash64(id_, body).alias("key"), id_.alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
+    return cut(own.join(first, "digest").where("doc_id > first").select("key").distinct())
+
+
+def originals(texts: DataFrame, copied: DataFrame) -> DataFrame:
+    # not an anti join: that would be pushed below the exchange of the texts, which then could not be shared
+    marked = texts.join(copied.withColumn("_copied", F.lit(True)).hint("shuffle_hash"), "key", "left")
+    return marked.where("_copied is null").select("key", "doc_id", "text")
+
+
+def with_copies(removed: DataFrame, copied: DataFrame) -> DataFrame:
+    """``removed`` and, for each copy, a mark that all its windows occur earlier."""
+    whole = copied.select("key", F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("count"))).alias("removed"))
+    return removed.unionByName(whole)
+
+
 def runs(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(gram, key, run, known) of every run; ``scan`` gives (text's number, packed run, hash) of a list of texts. Within a batch, a minimiser seen before sends only its first run to be looked up."""
+    """(gram, key, run, more, m): a row for each minimiser of a batch, with its first run, the others, and how many it stands for; ``scan`` gives (text's number, packed run, hash) of a list of texts."""
+    pair = pa.struct([("key", pa.int64()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for owner, packed, gram in scan(batch.column(2)):
-                _, first, count = np.unique(gram, return_index=True, return_counts=True)
-                known = np.ones(len(gram), bool)
-                known[first] = count > 1
-                asks = np.zeros(len(gram), bool)
-                asks[first] = True
-                key = keys[owner]
-                # a run that needs no look-up goes to any bucket: by its own key and place
-                other = mix(key.view(np.uint64) ^ mix(packed.view(np.uint64)))
-                yield rows([np.where(asks, gram, other).view(np.int64), gram.view(np.int64), key, packed, known], ["bucket", "gram", "key", "run", "known"], [pa.int64()] * 4 + [pa.bool_()])
+                order = np.argsort(gram, kind="stable")
+                own, key, packed = gram[order], keys[owner[order]], packed[order]
+                new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(own)))
+                rest = pa.StructArray.from_arrays([pa.array(key[~new]), pa.array(packed[~new])], fields=list(pair))
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count - 1))).astype(np.int32)), rest)
+                yield rows([own[first].view(np.int64), key[first], packed[first], more, count], ["gram", "key", "run", "more", "m"], [pa.int64()] * 3 + [None, pa.int64()])
 
-    return texts.mapInArrow(run, "bucket long, gram long, key long, run long, known boolean")
+    return texts.mapInArrow(run, "gram long, key long, run long, more array<struct<key:long,run:long>>, m long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(key, runs): of each document, the (run, gram) whose minimiser occurs more than once."""
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("known or n > 1")
-    return twice.groupBy("key").agg(F.collect_set(F.struct("run", "gram")).alias("runs"))
+    """(key, runs): of each document, the (run, gram, hot) whose minimiser occurs more than once."""
+    twice = found.withColumn("n", F.sum("m").over(Window.partitionBy("gram"))).where("n > 1")
+    each = twice.select("gram", (F.col("n") > HOT).alias("hot"), F.explode(F.concat(F.array(F.struct("key", "run")), "more")).alias("x"))
+    return each.groupBy("x.key").agg(F.collect_set(F.struct("x.run", "gram", "hot")).alias("runs"))
 
 
 PACKED = ["gram", "key", "doc_id", "run", "body"]
@@ -133,11 +163,22 @@ def packed(texts: DataFrame, found: DataFrame, cover: Callable[[str, np.ndarray]
                     continue
                 done.add(keys[i])
                 pairs = lists[i].values
-                own = np.sort(np.rec.fromarrays([pairs.field(0).to_numpy(), pairs.field(1).to_numpy()], names="run,gram"), order="run")
-                for r, g, body in zip(own.run.tolist(), own.gram.tolist(), cover(batch.column(2)[i].as_py(), own.run)):
+                run_, gram, hot = (pairs.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                by = np.argsort(run_, kind="stable")
+                run_, gram, hot = run_[by], gram[by], hot[by].astype(bool)
+                text = batch.column(2)[i].as_py()
+                sent = list(zip(run_[~hot].tolist(), gram[~hot].tolist(), cover(text, run_[~hot])))
+                if hot.any():
+                    start, count, anchor = unpack_run(run_[hot])
+                    at = np.concatenate([np.arange(s, s + c) for s, c in zip(start.tolist(), count.tolist())])
+                    single = pack_run(at, np.ones(len(at), np.int64), np.repeat(anchor, count))
+                    for r, body in zip(single.tolist(), cover(text, single)):
+                        digest = hashlib.blake2b(body, digest_size=DIGEST).digest()
+                        sent.append((r, int.from_bytes(digest[:8], "little", signed=True), digest))
+                for r, g, body in sent:
                     start, count, anchor = unpack_run(r)
                     place = (ids[i], start)
-                    before = first.setdefault((body, anchor - start), place)
+                    before = first.setdefault((body, 0 if len(body) == DIGEST else anchor - start), place)
                     earlier = before < place if within else before[0] < ids[i]
                     for column, value in zip(out, (g, keys[i], ids[i], r, None if earlier else body)):
                         column.append(value)
@@ -150,8 +191,18 @@ def packed(texts: DataFrame, found: DataFrame, cover: Callable[[str, np.ndarray]
     return texts.join(found, "key").select("key", "doc_id", "text", "runs").mapInArrow(run, "gram long, key long, doc_id long, run long, body binary")
 
 
-def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
-    """(key, removed): of each document the (start, count) of windows that occur earlier.
+def digests(doc_id: np.ndarray, start: np.ndarray, bodies: list[bytes], within: bool) -> np.ndarray:
+    """Which of the windows, given by digest and sorted by (doc_id, start) among equal ones, occur earlier."""
+    first: dict[bytes, tuple[int, int]] = {}
+    gone = np.zeros(len(bodies), bool)
+    for i, (d, s, body) in enumerate(zip(doc_id.tolist(), start.tolist(), bodies)):
+        before = first.setdefault(body, (d, s))
+        gone[i] = before < (d, s) if within else before[0] < d
+    return gone
+
+
+def earlier(sent: DataFrame, find: Callable, within: bool, most: int = 4 << 20) -> DataFrame:
+    """(key, removed): of each document the (start, count) of windows that occur earlier; ``within`` as in :func:`packed`.
 
     ``find(gram, doc_id, run, bodies)`` gets whole buckets sorted by (gram, doc_id, run) and gives
     (row, start, count) of such windows. Buckets are put together up to ``most`` bytes.
@@ -165,9 +216,16 @@ def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
 
         def settle(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             has = np.array(whole.column("body").is_valid())
-            key, packed_ = whole.column("key").to_numpy(), whole.column("run").to_numpy()
-            start, count, _ = unpack_run(packed_[~has])
+            key = whole.column("key").to_numpy()
+            start, count, _ = unpack_run(whole.column("run").to_numpy()[~has])
             got = [(key[~has], start, count)]
+            single = has & (np.array(pc.fill_null(pc.binary_length(whole.column("body")), 0)) == DIGEST)
+            if single.any():
+                own = whole.filter(pa.array(single))
+                start, count, _ = unpack_run(own.column("run").to_numpy())
+                gone = digests(own.column("doc_id").to_numpy(), start, own.column("body").to_pylist(), within)
+                got.append((own.column("key").to_numpy()[gone], start[gone], count[gone]))
+                has &= ~single
             if has.any():
                 own = whole.filter(pa.array(has))
                 row, start, count = find(own.column("bucket").to_numpy(), own.column("doc_id").to_numpy(), own.column("run").to_numpy(), own.column("body").to_pylist())
@@ -211,7 +269,9 @@ def apply(texts: DataFrame, removed: DataFrame, make: Callable[[str, np.ndarray,
 
 
 def spans(size: int, starts: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
-    """Which of ``size`` places the windows at ``starts`` (``counts`` in a row each) cover."""
+    """Which of ``size`` places the windows at ``starts`` (``counts`` in a row each) cover; a copy loses all, if it has a window."""
+    if len(starts) and starts[0] < 0:
+        return np.full(size, size >= width)
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(size, starts + counts + width - 1), -1)

@@ -39,6 +39,16 @@ def test_repeated_rows_do_not_remove_themselves(docs):
     assert got == [(80, 0), (80, 0), (80, 80), (80, 80)]
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_hot_minimisers(docs, odd, monkeypatch, most):
+    monkeypatch.setattr(sw, "HOT", most)
+    rng = random.Random(5)
+    passage = " ".join(str(rng.randrange(10**4)) for _ in range(90))
+    own = single(odd) + [(k, f"{rng.random()} {passage[rng.randrange(9) :]} {rng.random()} the end of it {k}") for k in range(200, 230)]
+    assert rows(suffixes.dedup(docs(own)), *OP9) == brute.op9(own)
+    assert rows(superkmers.dedup(docs(own)), *OP10) == brute.op10(own)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_dedup_of_small_alphabets(docs, seed):
     rng = random.Random(seed)
