@@ -27,7 +27,7 @@ FILE_BYTES = 32 << 20
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
-LEVEL = 1
+LEVEL, PIECE = 1, 1 << 15
 
 
 def digest_of(payload: bytes) -> str:
@@ -104,14 +104,17 @@ def parse_record(raw: bytes, at: int, offset: int) -> tuple[Record, int] | str:
 def _next_record(data: bytes, at: int) -> tuple[list[Record], int] | str:
     """The records of the member, or the bare record, at ``at``, and where that ends; or what is wrong."""
     if data.startswith(MEMBER, at):
-        z = zlib.decompressobj(31)
+        z, parts, read = zlib.decompressobj(31), [], at
         try:
-            raw = z.decompress(memoryview(data)[at:])
+            while not z.eof and read < len(data):  # a piece at a time, as what follows a member is copied
+                parts.append(z.decompress(data[read : read + PIECE]))
+                read = min(len(data), read + PIECE)
         except zlib.error as e:
             return f"gzip: {str(e)[:60]}"
         if not z.eof:
             return "gzip member cut off"
-        end, inner, out = len(data) - len(z.unused_data), 0, []
+        raw = b"".join(parts)
+        end, inner, out = read - len(z.unused_data), 0, []
         while inner < len(raw):
             got = parse_record(raw, inner, at)
             if isinstance(got, str):
@@ -181,8 +184,10 @@ def write_archives(rows: DataFrame, root: str, file_bytes: int = FILE_BYTES) ->
             return
         try:
             files.move(task, f"{top}/{name}")
-        except OSError:  # an earlier attempt at this task has finished
-            files.delete_dir(task)
+        except OSError:
+            if files.get_file_info(f"{top}/{name}").type.name != "Directory":
+                raise
+            files.delete_dir(task)  # an earlier attempt at this task has finished
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, number, records, size)], ["folder", "files", "records", "bytes"])
 
     order = ["key", "uri", "payload", "digest", "kind", "refers_to"]
