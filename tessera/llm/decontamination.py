@@ -131,10 +131,59 @@ def consistent(good: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns. Rows without a doc_id can't be told apart and stay."""
-    hit = matches(docs, items, size, min_words).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = cut(matches(docs, items, size, min_words).where("doc_id is not null").select("doc_id").distinct())
+    return docs.join(_few(hit), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: the benchmark items that documents hold."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _marked_sql(column: str, values: bool) -> str:
+    name, number, unit = (r"\1{m}a\2\3", r"{m}n\0", r"\1 {m}u\2\3") if values else (r"\1{m}a\3", "{m}n", r"\1 {m}u\3")
+    mark = lambda x: "'" + x.replace("{m}", "' || chr(1) || '") + "'"
+    # no looking around here: the neighbours are matched too, and a second pass finds names beside names
+    name_of = lambda x: rf"regexp_replace({x}, '([^\s.!?:;] )(\p{{Lu}}\p{{Ll}}+)([^\p{{L}}\p{{N}}]|$)', {mark(name)}, 'g')"
+    counted = f"regexp_replace({name_of(name_of(f'replace({column}, chr(1), chr(32))'))}, '[0-9]+', {mark(number)}, 'g')"
+    united = rf"regexp_replace({counted}, '(\x01n[0-9]*) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)', {mark(unit)}, 'g')"
+    return rf"regexp_extract_all(lower({united}), '[^\x00\x02-\x20\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+#: The same in SQL, a row for each covered word.
+ORACLE = f"""
+WITH items AS (
+  SELECT min(item_id) AS item, words, any_value({_marked_sql('text', True)}) AS item_values
+  FROM (SELECT item_id, text, {_marked_sql('text', False)} AS words FROM benchmark WHERE text IS NOT NULL) WHERE len(words) > 0 GROUP BY words, text
+), parts AS (
+  SELECT item, words, len(words) AS n, least({WINDOW}, len(words)) AS width, unnest(range(0, len(words) - least({WINDOW}, len(words)) + 1)) AS i FROM items
+), windows AS (
+  SELECT item, n, width, i, array_to_string(list_slice(words, i + 1, i + width), ' ') AS w FROM parts
+  WHERE len(list_filter(list_slice(words, i + 1, i + width), lambda x: NOT starts_with(x, chr(1)))) >= width * {LITERAL_PART}
+), docs AS (
+  SELECT row_number() OVER () AS key, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+), marked AS (
+  SELECT key, doc_id, text, {_marked_sql('text', False)} AS words FROM docs
+), places AS (
+  SELECT key, doc_id, words, width, unnest(range(0, greatest(0, len(words) - width + 1))) AS at_ FROM marked, (SELECT DISTINCT width FROM windows)
+), hits AS (
+  SELECT p.key, p.doc_id, w.item, w.n, w.width, w.i, p.at_ - w.i AS shift FROM (SELECT key, doc_id, width, at_, array_to_string(list_slice(words, at_ + 1, at_ + width), ' ') AS w FROM places) p JOIN windows w ON p.w = w.w AND p.width = w.width
+), starts AS (
+  SELECT key, doc_id, item, n, shift, count(DISTINCT i) AS n_windows FROM hits GROUP BY key, doc_id, item, n, shift
+), covered AS (
+  SELECT DISTINCT key, item, shift, unnest(range(i, i + width)) AS pos FROM hits
+), valued AS (
+  SELECT c.key, c.item, c.shift, t.item_values[c.pos + 1] AS there, m.doc_values[c.pos + c.shift + 1] AS here
+  FROM covered c JOIN items t ON c.item = t.item JOIN (SELECT key, {_marked_sql('text', True)} AS doc_values FROM docs WHERE key IN (SELECT key FROM hits)) m ON c.key = m.key
+), counted AS (
+  SELECT key, item, shift, count(*) AS covered, count(*) FILTER (WHERE starts_with(there, chr(1))) AS n_slots, count(*) FILTER (WHERE starts_with(there, chr(1)) AND there <> here) AS changed,
+         count(DISTINCT there || ' ' || here) FILTER (WHERE starts_with(there, chr(1))) AS pairs, count(DISTINCT there) FILTER (WHERE starts_with(there, chr(1))) AS theres, count(DISTINCT here) FILTER (WHERE starts_with(there, chr(1))) AS heres
+  FROM valued GROUP BY key, item, shift
+), good AS (
+  SELECT s.*, c.covered, c.n_slots, c.changed, row_number() OVER (PARTITION BY s.key, s.item ORDER BY c.covered DESC, s.shift) AS r
+  FROM starts s JOIN counted c ON s.key = c.key AND s.item = c.item AND s.shift = c.shift
+  WHERE c.covered >= least({MIN_WORDS}, s.n) AND c.pairs = c.theres AND c.pairs = c.heres
+) SELECT doc_id, item AS item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(max(covered) AS BIGINT) AS covered_words, CAST(max(n) AS BIGINT) AS item_words, max(covered / n) AS coverage,
+         CAST(max(n_slots) AS BIGINT) AS n_slots, CAST(max(changed) AS BIGINT) AS changed_slots
+FROM good WHERE r = 1 GROUP BY doc_id, item
+"""

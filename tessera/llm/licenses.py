@@ -139,3 +139,36 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: the license notices of every document."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> str:
+    """The same in SQL: each block against each template."""
+    half = block // 2
+
+    def places(phrase: str) -> str:
+        here = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        return f"list_transform(list_filter(range(1, len(words) + 1), lambda i: {here}), lambda i: i - 1)"
+
+    found = ", ".join(f"{places(p)} AS p{k}" for k, (p, _) in enumerate(PHRASES))
+    named = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
+    rows = ", ".join(f"({i}, '{label}', {template_words(text)})" for i, (text, label) in enumerate(templates))
+    return f"""
+WITH own AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, len(words) AS n, {found} FROM own
+), based AS (
+  SELECT *, list_concat(list_concat(p0, p1), list_concat(p2, p3)) AS every, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM places
+), templates(template, label, need) AS (
+  VALUES {rows}
+), blocks AS (
+  SELECT doc_id, list_slice(words, b * {half} + 1, b * {half} + {block}) AS block FROM (SELECT doc_id, words, unnest(range(0, greatest(1, (n + {half - 1}) // {half}))) AS b FROM places)
+), alike AS (
+  SELECT doc_id, label, len(list_intersect(block, need)) AS shared, len(need) AS size FROM blocks, templates WHERE list_has_any(block, need)
+), method AS (
+  SELECT doc_id, list(DISTINCT label) AS own, max(shared / size) AS score FROM alike WHERE shared >= ceil({threshold} * size - 1e-9) GROUP BY doc_id
+) SELECT b.doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word, CAST(list_max(every) AS BIGINT) AS last_word,
+         array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(m.own, [])))), ',') AS labels,
+         CASE WHEN len(every) > 0 THEN 1.0 ELSE CAST(coalesce(m.score, 0) AS DOUBLE) END AS score
+FROM based b LEFT JOIN method m ON b.doc_id = m.doc_id
+"""

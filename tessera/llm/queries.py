@@ -22,4 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: For those that SQL can express; the others are tested against plain versions in tests/llm.
-ORACLES: dict[str, str] = {"op3_permutation_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_permutation_sharding": sharding.ORACLE,
+    "op4_template_decontamination": decontamination.ORACLE,
+    "op6_warc_salvage": warc.ORACLE,
+    "op7_license_similarity": licenses.oracle(),
+    "op10_superkmer_dedup": superkmers.ORACLE,
+}

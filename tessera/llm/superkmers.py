@@ -182,3 +182,21 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: repeated windows of 50 words of all documents."""
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH own AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, words FROM own
+), windows AS (
+  SELECT doc_id, i, words[i] AS word, CASE WHEN i + {WINDOW - 1} <= len(words) THEN array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') END AS w FROM placed
+), firsts AS (
+  SELECT w, min(doc_id) AS first FROM windows WHERE w IS NOT NULL GROUP BY w
+), marked AS (
+  SELECT a.doc_id, a.i, a.word, max(CASE WHEN f.first < a.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY a.doc_id ORDER BY a.i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM windows a LEFT JOIN firsts f ON a.w = f.w
+), kept AS (
+  SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS left_over FROM marked GROUP BY doc_id
+) SELECT o.doc_id, CAST(len(o.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256 FROM own o LEFT JOIN kept k ON o.doc_id = k.doc_id
+"""

@@ -271,3 +271,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.range(0).select(*[F.lit(None).cast("string" if c in ("payload_digest", "record_type") else "long").alias(c) for c in columns])
     found = read_archives(spark, f"{root}/part-*", payloads=False)
     return found.where("record_type <> 'gap'").select(*columns)
+
+
+ORACLE = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), coded AS (
+  SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS last,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST(('0x' || substr(h, 5 * (i // 4) + 1, 5)) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS digest
+  FROM own
+) SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+         CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM coded
+"""
