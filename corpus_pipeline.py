@@ -12,11 +12,13 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, langid, packing, simhash, superkmers
+from tessera.llm import decontamination, langid, packing, simhash, similar, superkmers
 from tessera.llm.shared import shared_dir, table
 
 #: Documents whose best language scores lower are rejected, as are those without a letter.
 LEAST_SCORE = 0.4
+#: Near copies share so much of their shingles of so many words.
+NEAR_WORDS, NEAR_LEAST = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies."""
-    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
+    """Keeps the document of the smallest doc_id of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, similar.near_copies(docs, NEAR_WORDS, NEAR_LEAST))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
