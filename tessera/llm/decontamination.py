@@ -4,11 +4,14 @@ Numbers, units and names become typed placeholders, so that a benchmark item who
 names were exchanged keeps its template. Windows of eight template words are hash-joined with
 those of the items; windows on one alignment of document and item make a match. Where templates
 have placeholders, the values are compared: a match must exchange each value of the item for one
-value of the document throughout, and no two for the same.
+value of the document throughout, and no two for the same. Besides, windows of thirteen plain
+words, or of all words of a shorter item, find verbatim copies whatever their template is.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +47,24 @@ def template_words(text: Column, values: bool = False) -> Column:
     return F.filter(words, lambda w: w != "") if values else words
 
 
+def plain_words(text: Column, values: bool = False) -> Column:
+    """Lower-case words of the text as it is, an empty array if there are none."""
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    return F.filter(F.split(F.lower(F.trim(F.regexp_replace(plain, rf"^{BETWEEN}", ""))), BETWEEN), lambda w: w != "")
+
+
 def window_hashes(words: Column, size: int) -> Column:
     """The hash of each ``size`` consecutive words, by place; null if there are too few."""
     n = F.size(words) - size
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(words, i + 1, size))))
 
 
-def item_windows(items: DataFrame, size: int) -> DataFrame:
+def item_windows(items: DataFrame, size: int, words_of=template_words) -> DataFrame:
     """(hash, item, i, n): the items' windows, of ``size`` words or of all words of a shorter item.
 
     Items of one template and text are one. Windows of mostly placeholders say nothing and are left out.
     """
-    whole = F.filter(template_words(F.col("text")), lambda w: w != "")
+    whole = F.filter(words_of(F.col("text")), lambda w: w != "")
     own = items.select(F.col("item_id").cast("long").alias("item"), whole.alias("words"), F.col("text")).where(F.size("words") > 0)
     own = own.groupBy("words", "text").agg(F.min("item").alias("item"))
     width = F.least(F.lit(size), F.size("words"))
@@ -75,14 +84,29 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: in
 
     ``covered_words`` of the item's template are in matching windows on one alignment, at least
     ``min_words`` or all of a shorter item; values of placeholders must be exchanged one to one.
-    A document and an item give one row, that of the best alignment. Null or empty texts match
-    nothing; of items with equal texts the smallest item_id stands for all. Documents without a
-    doc_id are matched and have a null one. Rows with one doc_id are one document.
+    Else a verbatim copy of the whole item, or of so many words in a row where values did not refuse
+    the templates, is a match; its words and windows are plain ones, without slots. A document and an item give one row, that of the
+    best alignment. Null or empty texts match nothing; of items with equal texts the smallest item_id
+    stands for all. Documents without a doc_id are matched and have a null one. Rows with one doc_id are one document.
     """
-    windows = cut(item_windows(items, size))
     body = F.coalesce("text", F.lit(""))
     own = docs.select(F.xxhash64("doc_id", body).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    hashed = own.select("key", "doc_id", template_words(F.col("text")).alias("words"))
+    by_template, refused = _found(own, items, template_words, size, min_words)
+    verbatim, _ = _found(own, items, plain_words, min_words, min_words, refused)
+    found = [x.withColumn("route", F.lit(k)) for k, x in enumerate((by_template, verbatim))]
+    every = functools.reduce(DataFrame.unionByName, found)
+    values = [c for c in every.columns if c not in ("doc_id", "item_id", "route")]
+    first = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("route", *values)).alias("_first"))
+    return first.select("doc_id", "item_id", *[F.col(f"_first.{c}").alias(c) for c in values])
+
+
+def _found(own: DataFrame, items: DataFrame, words_of, size: int, min_words: int, refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The matches of windows of ``size`` of the words that ``words_of`` makes of texts, and (key, item) of the alignments that values refused.
+
+    With ``refused`` words are plain: no values are compared, and of the (key, item) there only whole items match.
+    """
+    windows = cut(item_windows(items, size, words_of))
+    hashed = own.select("key", "doc_id", words_of(F.col("text")).alias("words"))
     index = _few(windows)
     widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most ``size`` numbers
     found = None
@@ -90,27 +114,34 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: in
         places = hashed.select("key", "doc_id", F.posexplode(window_hashes(F.col("words"), width)).alias("at", "hash"))
         part = places.join(index.where(F.col("width") == width).drop("width"), "hash").select("key", "doc_id", "at", "item", "i", "n", F.lit(width).alias("width"))
         found = part if found is None else found.unionByName(part)
-    none = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, coverage double, n_slots long, changed_slots long"
     if found is None:
-        return docs.sparkSession.createDataFrame([], none)
+        none = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, coverage double, n_slots long, changed_slots long"
+        return own.sparkSession.createDataFrame([], none), own.sparkSession.createDataFrame([], "key long, item long")
     aligned = found.groupBy("key", "doc_id", "item", (F.col("at") - F.col("i")).alias("shift")).agg(
         F.sort_array(F.collect_set("i")).alias("starts"), F.first("n").alias("n"), F.first("width").alias("width")
     )
     step = F.transform("starts", lambda x, k: F.when(k == 0, F.col("width")).otherwise(F.least(F.col("width"), x - F.get("starts", k - 1))))
     covered = F.aggregate(step, F.lit(0), lambda a, x: a + x)
     good = cut(aligned.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(min_words), F.col("n"))))
-    checked = consistent(good, own, items)
+    if refused is None:
+        checked = cut(consistent(good, own, items, words_of))
+        gone = good.join(checked, ["key", "item", "shift"], "left_anti").select("key", "item").distinct()
+    else:
+        part = good.where("covered < n").join(refused, ["key", "item"], "left_anti").select(*good.columns)
+        checked = good.where("covered = n").unionByName(part).withColumn("n_slots", F.lit(0)).withColumn("changed", F.lit(0))
+        gone = refused
     best = Window.partitionBy("doc_id", "key", "item").orderBy(F.desc("covered"), "shift")
     one = checked.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    return one.groupBy("doc_id", F.col("item").alias("item_id")).agg(
+    rows = one.groupBy("doc_id", F.col("item").alias("item_id")).agg(
         F.max(F.size("starts")).cast("long").alias("n_windows"), F.max("covered").cast("long").alias("covered_words"), F.max("n").cast("long").alias("item_words"),
         F.max(F.col("covered") / F.col("n")).alias("coverage"), F.max("n_slots").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("changed_slots"),
     )
+    return rows, gone
 
 
-def consistent(good: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
+def consistent(good: DataFrame, own: DataFrame, items: DataFrame, words_of=template_words) -> DataFrame:
     """The alignments whose placeholders' values are exchanged one to one, with n_slots and changed."""
-    item_values = items.select(F.col("item_id").cast("long").alias("item"), template_words(F.col("text"), values=True).alias("item_values"))
+    item_values = items.select(F.col("item_id").cast("long").alias("item"), words_of(F.col("text"), values=True).alias("item_values"))
     slotted = good.join(_few(item_values), "item")
     within = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1))))
     slots = F.filter(within, lambda i: F.get("item_values", i).startswith(MARK))
@@ -120,7 +151,7 @@ def consistent(good: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
     if open_.isEmpty():
         return plain
     keys = _few(open_.select("key").distinct())
-    texts = own.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", template_words(F.col("text"), values=True).alias("doc_values"))
+    texts = own.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text"), values=True).alias("doc_values"))
     both = open_.join(texts, "key").withColumn("here", F.transform("slots", lambda i: F.get("doc_values", (i + F.col("shift")).cast("int")))).drop("doc_values")
     pairs = F.array_distinct(F.arrays_zip("there", "here"))
     one_to_one = (F.size(pairs) == F.size(F.array_distinct("there"))) & (F.size(pairs) == F.size(F.array_distinct("here")))

@@ -70,6 +70,13 @@ def test_exchanged_values_must_be_consistent(docs, spark):
     assert got[1, 0]["changed_slots"] == 6 and got[4, 0]["changed_slots"] == 0 and got[5, 0]["changed_slots"] == 1 and got[1, 0]["n_slots"] == 7
 
 
+def test_verbatim_copies_of_numbers_and_names(docs, spark):
+    items = [(0, "What is 12 + 30 * 4 - 7 + 9?"), (1, "Compute the sum of 12, 30, 4, 7, 9, 15, 22, 31 and 48.")]
+    rows = [(1, f"some words before. {items[0][1]} And after"), (2, f"some words before. {items[1][1]} And after"), (3, "What is 12 + 30 * 4 - 7 + 8?"), (4, "Compute the sum of 12, 30, 4, 7, 9, 15, 22")]
+    assert set(found(docs, spark, rows, items)) == {(1, 0), (2, 1)}
+    assert {r["doc_id"] for r in decontamination.clean(docs(rows), spark.createDataFrame(items, BENCH)).collect()} == {3, 4}
+
+
 def test_decontamination_against_plain(docs, spark, data):
     own = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
