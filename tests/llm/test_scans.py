@@ -77,6 +77,12 @@ def test_verbatim_copies_of_numbers_and_names(docs, spark):
     assert {r["doc_id"] for r in decontamination.clean(docs(rows), spark.createDataFrame(items, BENCH)).collect()} == {3, 4}
 
 
+def test_short_copies_after_running_text(docs, spark):
+    items = [(0, "What is the capital of France?"), (1, "Name the largest ocean.")]
+    rows = [(1, f"words Here {items[0][1]} And more"), (2, f"words here {items[1][1].upper()}"), (3, f"In as Et une {items[1][1]}"), (4, "words Here What is the capital of")]
+    assert set(found(docs, spark, rows, items)) == {(1, 0), (2, 1), (3, 1)}
+
+
 def test_decontamination_against_plain(docs, spark, data):
     own = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
