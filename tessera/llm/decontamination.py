@@ -5,7 +5,9 @@ names were exchanged keeps its template. Windows of eight template words are has
 those of the items; windows on one alignment of document and item make a match. Where templates
 have placeholders, the values are compared: a match must exchange each value of the item for one
 value of the document throughout, and no two for the same. Besides, windows of thirteen plain
-words, or of all words of a shorter item, find verbatim copies whatever their template is.
+words, or of all words of a shorter item, find verbatim copies whatever their template is. A
+second, looser template has a number with its separators as one placeholder, any capitalised word
+as a name, and units compared without their plural.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BROADCAST_ROWS = 200_000
 UNITS = "km|cm|mm|kg|mg|ml|kwh|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|dollars?|euros?|cents?|percent|m|g|l|s|h"
 #: Placeholders begin with a sign that texts lose first: n a number, u a unit, a a name.
 MARK = "\x01"
+#: Stands for a separator within a number.
+JOINT = "\u00b7"
 BETWEEN = r"[\x00\x02-\x20\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -47,6 +51,21 @@ def template_words(text: Column, values: bool = False) -> Column:
     return F.filter(words, lambda w: w != "") if values else words
 
 
+def loose_words(text: Column, values: bool = False) -> Column:
+    """As :func:`template_words`, of the looser template."""
+    name, number, unit = ("$0", "$0", "$2") if values else ("", "", "")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    named = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", MARK + "a" + name)
+    # thousands lose their separators, others become a sign that doesn't part words
+    joined = F.regexp_replace(F.regexp_replace(named, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", ""), r"(?<=[0-9])[.,](?=[0-9])", JOINT)
+    counted = F.regexp_replace(joined, rf"[0-9]+(?:{JOINT}[0-9]+)*", MARK + "n" + number)
+    united = F.regexp_replace(counted, rf"({MARK}n[0-9{JOINT}]*)\x20?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", rf"$1 {MARK}u{unit}")
+    words = F.split(F.lower(F.trim(F.regexp_replace(united, rf"^{BETWEEN}", ""))), BETWEEN)
+    if not values:
+        return words
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.when(w.startswith(MARK + "u"), F.regexp_replace(w, r"(?<=\p{L}{2})s$", "")).otherwise(w))
+
+
 def plain_words(text: Column, values: bool = False) -> Column:
     """Lower-case words of the text as it is, an empty array if there are none."""
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
@@ -85,7 +104,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: in
     ``covered_words`` of the item's template are in matching windows on one alignment, at least
     ``min_words`` or all of a shorter item; values of placeholders must be exchanged one to one.
     Else a verbatim copy of the whole item, or of so many words in a row where values did not refuse
-    the templates, is a match; its words and windows are plain ones, without slots. A document and an item give one row, that of the
+    the templates, is a match; its words and windows are plain ones, without slots. Else the looser
+    template is tried in the same way as the first. A document and an item give one row, that of the
     best alignment. Null or empty texts match nothing; of items with equal texts the smallest item_id
     stands for all. Documents without a doc_id are matched and have a null one. Rows with one doc_id are one document.
     """
@@ -93,7 +113,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: in
     own = docs.select(F.xxhash64("doc_id", body).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
     by_template, refused = _found(own, items, template_words, size, min_words)
     verbatim, _ = _found(own, items, plain_words, min_words, min_words, refused)
-    found = [x.withColumn("route", F.lit(k)) for k, x in enumerate((by_template, verbatim))]
+    loosely, _ = _found(own, items, loose_words, size, min_words)
+    found = [x.withColumn("route", F.lit(k)) for k, x in enumerate((by_template, verbatim, loosely))]
     every = functools.reduce(DataFrame.unionByName, found)
     values = [c for c in every.columns if c not in ("doc_id", "item_id", "route")]
     first = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("route", *values)).alias("_first"))

@@ -83,6 +83,19 @@ def test_short_copies_after_running_text(docs, spark):
     assert set(found(docs, spark, rows, items)) == {(1, 0), (2, 1), (3, 1)}
 
 
+LOOSE = [
+    ("Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have?", "Anna has 7 apples. Anna buys 4 more apples. How many apples does Anna have?", "Anna has 7 apples. Anna buys 4 more apples. How many apples does Emma have?"),
+    ("A farmer sells 1,200 eggs in a week. How many are sold each day?", "A farmer sells 950 eggs in a week. How many are sold each day?", "A farmer sells 950 hens in a week. Who knows what they cost?"),
+    ("A pump fills 3.5 tanks while another one empties 2 tanks, so how many are full?", "A pump fills 4 tanks while another one empties 1,250 tanks, so how many are full?", "A pump fills 4 tanks while another one empties 4 tanks, so how many are full?"),
+    ("the first walk takes 1 hour and the second walk takes 3 hours so how long are both", "the first walk takes 2 hours and the second walk takes 3 hours so how long are both", "the first walk takes 3 hours and the second walk takes 3 hours so how long are both"),
+]
+
+
+def test_ordinary_exchanges(docs, spark):
+    rows = [(10 * i + k, f"text before it. {text} And text after it") for i, (_, *texts) in enumerate(LOOSE) for k, text in enumerate(texts)]
+    assert set(found(docs, spark, rows, [(i, x[0]) for i, x in enumerate(LOOSE)])) == {(10 * i, i) for i in range(len(LOOSE))}
+
+
 def test_decontamination_against_plain(docs, spark, data):
     own = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
