@@ -60,7 +60,7 @@ def hot_keys(rows: DataFrame, key: str, shards: int) -> DataFrame:
     """The keys of more than HOT_PARTS even parts of the rows: fewer than there are shards."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") * shards > F.col("_all") * HOT_PARTS).select(F.col(key).alias("_hot"))
+    return counts.join(F.broadcast(total), F.col("_n") * shards > F.col("_all") * HOT_PARTS).select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot"))
 
 
 def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, spread: str | None = None) -> DataFrame:
@@ -75,10 +75,10 @@ def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, spre
     if spread:
         hot = F.broadcast(hot_keys(own, key, len(shards)))
         own = own.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
-        flagged = F.col("_hot").isNotNull()
+        flagged = F.col("_is_hot").isNotNull()  # a hot key may be null
         by = F.when(flagged, F.concat_ws("/", by, F.col(spread).cast("string"))).otherwise(by)
-    placed = own.withColumn("slot", slot_of(by, slots)).drop("_hot")
-    return placed.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), "slot").select(*own.drop("_hot").columns, "slot", "shard")
+    placed = own.withColumn("slot", slot_of(by, slots)).drop("_hot", "_is_hot")
+    return placed.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), "slot").select(*own.drop("_hot", "_is_hot").columns, "slot", "shard")
 
 
 def write(sharded: DataFrame, path: str) -> None:

@@ -151,3 +151,13 @@ def test_sharding_edge(spark, tmp_path):
     assert sharding.shard(df.limit(0), "source", sharding.shard_names(8), 101, spread="doc_id").count() == 0
     sharding.write(spread, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == spread.select("shard").distinct().count()
+
+
+def test_hot_null_source_is_spread(spark, duck):
+    rows = [(i, None if i % 3 == 0 else f"k{i}") for i in range(900)]
+    sharded = sharding.shard(spark.createDataFrame(rows, "doc_id long, source string"), "source", sharding.shard_names(), spread="doc_id")
+    assert sharded.columns == ["doc_id", "source", "slot", "shard"]
+    own = duck.cursor()
+    own.execute("create temp table documents as select i as doc_id, case when i % 3 <> 0 then 'k' || i end as source from range(900) t(i)")
+    assert sorted(map(tuple, sharded.collect()), key=str) == sorted(own.sql(sharding.ORACLE).fetchall(), key=str)
+    assert sharded.where("source is null").select("shard").distinct().count() > 16
