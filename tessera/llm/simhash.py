@@ -17,7 +17,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import stars
@@ -56,14 +56,20 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long) of every document's whole text, a row for each row. A null text counts as empty."""
+    """(doc_id, fp long, row long) of every document's whole text, a row for each row, ``row`` by :func:`row_key`. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(words_of(t.as_py()), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
+    return own.mapInArrow(run, "doc_id long, fp long, row long")
+
+
+def row_key(text: str = "text") -> Column:
+    """What tells rows of one doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _syndromes(code: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +208,7 @@ def links(cells: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the smallest doc_id that links of ``threshold`` bits or fewer reach.
+    """(doc_id, fp, component_id, row, root) for each row: the smallest doc_id that links of ``threshold`` bits or fewer reach.
 
     Copies share a fingerprint and are one vertex, so only different fingerprints are compared.
     A null or wordless text has fingerprint 0 and links like any other; a null doc_id is never
@@ -213,21 +219,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     star = stars(links(at_anchors(distinct, threshold), threshold))
     rooted = distinct.join(star.select(F.col("u").alias("fp"), F.col("v").alias("_root")), "fp", "left").select("fp", "_least", F.coalesce("_root", "fp").alias("_root"))
     ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return all_fps.join(rooted.join(ids, "_root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return all_fps.join(rooted.join(ids, "_root").select("fp", "component_id", F.col("_root").alias("root")), "fp").select("doc_id", "fp", "component_id", "row", "root")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component in ``found``: one row each, with all its columns.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows are known by doc_id and text, so of a doc_id with several texts only the rows of components
+    of a smaller doc_id go. Rows without a doc_id can't be told apart and stay.
     """
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    own = docs.withColumn("_row", row_key(text))
+    others = found.where("doc_id <> component_id").select("doc_id", F.col("row").alias("_row")).distinct()
+    kept = own.join(others, ["doc_id", "_row"], "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again.select(*kept.columns))
+        return kept.select(*docs.columns)
+    roots = found.select("doc_id", F.col("row").alias("_row"), F.col("root").alias("_root")).distinct()
+    again = kept.join(twice, "doc_id", "left_semi").join(roots, ["doc_id", "_row"]).dropDuplicates(["doc_id", "_root"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import stars
 from .shared import cut, partitions
-from .simhash import SEED, words_of
+from .simhash import SEED, row_key, words_of
 
 SHINGLE, LEAST = 5, 0.8
 #: One of so many texts is in the sample; shingles of two or more of its texts come last, if they are among the most frequent ones.
@@ -221,7 +221,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text:
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) for each row: the smallest doc_id that pairs of a similarity of ``least`` or more reach.
+    """(doc_id, component_id, row, root) for each row: the smallest doc_id that pairs of a similarity of ``least`` or more reach.
 
     Words are lower-cased and stand between white space. Texts of the same words are one; those
     without words, or null, are all copies of each other. A null doc_id is never the smallest
@@ -230,9 +230,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(words_of(t.as_py())) for t in batch.column(1)], pa.int64())], ["doc_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(words_of(t.as_py())) for t in batch.column(1)], pa.int64()), batch.column(2)], ["doc_id", "v", "row"])
 
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, v long"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
+    rows = cut(own.mapInArrow(run, "doc_id long, v long, row long"))
     found = cut(met(prefixes(docs, frequent(docs, shingle, text), shingle, least, text), least))
     links = similar(found.where("kind = 0"), docs, shingle, least, text)
     star = stars(links)
@@ -244,4 +245,4 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
     texts = rows.groupBy("v").agg(F.min("doc_id").alias("_least"))
     rooted = texts.join(star.select(F.col("u").alias("v"), F.col("v").alias("_root")), "v", "left").select("v", "_least", F.coalesce("_root", "v").alias("_root"))
     ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows.join(rooted.join(ids, "_root").select("v", "component_id"), "v").select("doc_id", "component_id")
+    return rows.join(rooted.join(ids, "_root").select("v", "component_id", F.col("_root").alias("root")), "v").select("doc_id", "component_id", "row", "root")

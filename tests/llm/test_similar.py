@@ -62,3 +62,12 @@ def test_near_copies_of_nothing(docs, spark, data):
     assert corpus_pipeline.near_duplicates(spark, docs([]), data).count() == 0
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")]
     assert [r["component_id"] for r in similar.near_copies(docs(rows)).collect()] == [3, 3, 3]
+
+
+def test_one_doc_id_of_different_texts(docs, spark, data):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in "abc"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (7, texts[1]), (7, texts[1])]
+    want = [(1, texts[0]), (5, texts[1]), (5, texts[2])]
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs(rows), data).collect()) == want
+    own = docs(rows)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(own, simhash.near_duplicates(own)).collect()) == want
