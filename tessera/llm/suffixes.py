@@ -5,7 +5,9 @@ for. Multikey quicksort steps (eight bytes a key, most significant first) order
 depth; the groups left, which have that prefix in common, go to blind tries: a group's earliest
 suffix becomes a path, the others branch off it at their first differing byte, and each branch is
 a group again. What never branches off equals an earlier string. All groups of a bucket batch
-take each step together, as array operations.
+take each step together, as array operations. Buckets (see superwindows) and the place of the
+minimiser in the string have parted the suffixes before, so sorting begins within these groups,
+and it orders no more of the corpus than equal strings need.
 """
 
 from __future__ import annotations
@@ -71,6 +73,17 @@ def scan(length: int):
     return run
 
 
+def window_hashes(length: int):
+    """A hash of the ``length`` bytes at each place of a text."""
+    steps = [*range(0, length - GRAM, GRAM), length - GRAM]
+
+    def run(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        return sw.joined(gram_hashes(raw), steps, len(raw) - length + 1)
+
+    return run
+
+
 def cover(length: int):
     """The bytes that each run's windows cover."""
 
@@ -187,14 +200,10 @@ def kept(length: int):
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The dealt texts, and (key, removed) with the (start, count) of strings of ``length`` bytes that occur earlier."""
+    """The dealt texts, and (doc_id, key, removed) with the (start, count) of strings of ``length`` bytes that occur earlier."""
     if not GRAM <= length <= GRAM + 200:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 200} bytes")
-    texts = sw.dealt(docs)
-    copied = sw.copies(docs)
-    own = sw.originals(texts, copied)
-    back = sw.repeated(sw.runs(own, scan(length)))
-    return texts, sw.with_copies(sw.earlier(sw.packed(texts, back, cover(length), within=True), find(length), within=True), copied)
+    return sw.search(docs, scan(length), window_hashes(length), cover(length), find(length), within=True)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -71,6 +71,18 @@ def scan(window: int):
     return run
 
 
+def window_hashes(window: int):
+    """A hash of all words of the window at each place of a text."""
+    steps = [*range(0, window - GRAM, GRAM), window - GRAM]
+
+    def run(text: str) -> np.ndarray:
+        words = words_of(text)
+        grams = gram_hashes(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+        return sw.joined(grams, steps, len(words) - window + 1)
+
+    return run
+
+
 def cover(window: int):
     """The super-k-mer of each run: the words of its windows, packed with single spaces."""
 
@@ -126,14 +138,10 @@ def kept_words(text: str, starts: np.ndarray, counts: np.ndarray, window: int) -
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The dealt texts, and (key, removed) with the (start, count) of windows that a smaller doc_id has."""
+    """The dealt texts, and (doc_id, key, removed) with the (start, count) of windows that a smaller doc_id has."""
     if not GRAM <= window <= GRAM + 200:
         raise ValueError("window must be from 16 to 216 words")
-    texts = sw.dealt(docs)
-    copied = sw.copies(docs)
-    own = sw.originals(texts, copied)
-    back = sw.repeated(sw.runs(own, scan(window)))
-    return texts, sw.with_copies(sw.earlier(sw.packed(texts, back, cover(window), within=False), find(window), within=False), copied)
+    return sw.search(docs, scan(window), window_hashes(window), cover(window), find(window), within=False)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -154,29 +162,38 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with all their columns, repeated words gone from their texts and n_chars made anew where it is.
+    """The rows of ``docs`` with all their columns, whatever their names, repeated words gone from their texts.
 
-    A text that loses nothing stays as it is, white space too; another is its kept words with
-    single spaces, an empty text if there are none. Null texts stay null.
+    A row that loses nothing stays as it is, white space and n_chars too; another's text is its kept
+    words with single spaces, empty if there are none, and its n_chars (where there is such a column) that
+    text's length. Null texts stay null. Null doc_ids and repeated rows as in :func:`dedup`.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(sw.LAST))
     _, gone = removed(docs, window)
-    keyed = docs.withColumn("_key", F.xxhash64(id_, F.coalesce("text", F.lit(""))))
-    joined = keyed.join(gone.withColumnRenamed("key", "_key").withColumnRenamed("removed", "_gone"), "_key", "left")
-    text, new = docs.columns.index("text"), F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    docs_names = docs.columns
+    text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    id_, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(sw.LAST)), F.coalesce(F.col("text"), F.lit(""))
+    # the row as one struct, so that its columns' names clash with none of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("doc_id"), sw.text_hash(body).alias("key"))
+    joined = own.join(gone, sw.ID, "left").select("row.*", "removed").toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            out = columns[text].to_pylist()
-            for i, g in enumerate(columns[-1]):
-                if g.is_valid:
-                    out[i] = b" ".join(kept_words(out[i] or "", g.values.field(0).to_numpy(), g.values.field(1).to_numpy(), window)[1]).decode("utf-8", "replace")
-            columns[text] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
-
-    made = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_gone").mapInArrow(run, docs.schema)
-    return made.withColumn("n_chars", new).select(*docs.columns) if "n_chars" in docs.columns else made
+            lost = [(i, g.values) for i, g in enumerate(columns[-1]) if g.is_valid]
+            if lost:
+                out, sizes = columns[text].to_pylist(), columns[n_chars].to_pylist() if n_chars is not None else []
+                for i, g in lost:
+                    left = kept_words(out[i] or "", g.field(0).to_numpy(), g.field(1).to_numpy(), window)
+                    if len(left[1]) < left[0]:
+                        out[i] = b" ".join(left[1]).decode("utf-8", "replace")
+                        if n_chars is not None:
+                            sizes[i] = len(out[i])
+                columns[text] = pa.array(out, columns[text].type)
+                if n_chars is not None:
+                    columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(columns[:-1], docs_names)
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,31 +4,34 @@ Consecutive windows that share their least k-gram (minimiser) form a run. Equal
 equal minimisers at equal places, so a window can only occur twice where its run's minimiser
 does. The steps, all keyed by hashes and none of them over all pairs:
 
-1. texts are dealt by document once; that exchange is read by steps 2, 4 and 6. Whole copies of
-   the text of a smaller doc_id are found by digest, and take part in the last step only,
-2. runs: the hash of each run's minimiser,
-3. runs whose minimiser occurs once are done with; the others go back to their document,
-4. their super-windows (the text that a run's windows cover) travel to the minimiser's bucket,
-5. the bucket finds the windows that occur earlier, exactly, by content,
+1. texts are dealt by document once; that exchange is read by each of the steps that follow.
+   Whole copies of the text of a smaller doc_id are found by digest, and take part in the last
+   step only,
+2. minimisers are counted, a batch's before they are shuffled; runs whose minimiser occurs once
+   are done with, the others go back to their document,
+3. runs of a hot minimiser (more than HOT in the corpus) are cut into single windows, which take
+   step 2 again by a hash of the whole window,
+4. super-windows (the text that a run's windows cover) travel to their minimiser's, or window's, bucket,
+5. the bucket finds the windows that occur earlier, by sorting their content,
 6. each document puts its windows together.
 
-Copies are folded wherever rows are made: a batch sends one row of a minimiser and one of a
-super-window, and marks the others by itself. So a passage that a third of all rows hold gives
-a bucket as many rows as there were batches, not as many as there are documents. Super-windows
-at the edges of such a passage differ, though, and would all meet at its minimisers. Minimisers
-of more than HOT runs therefore make no bucket: each window of their runs goes to the bucket of
-its own 128-bit digest, where only windows equal to it meet.
+Hashes only choose who is compared with whom; what goes is always decided by content. Step 3
+is there since a passage that a third of all rows hold makes super-windows at its edges that all
+differ and would all meet at the passage's minimisers. By itself, the passage gives a bucket as
+many rows as there were batches: a batch sends one row of equal super-windows, marks those of
+larger documents by itself, and notes the further places in one document beside the first.
+Documents are known by doc_id and a hash of their text together, so that colliding hashes of
+different doc_ids are told apart.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, partitions
@@ -36,8 +39,9 @@ from .shared import cut, partitions
 #: A run as one long: its first window, the number of windows, and the minimiser's distance from the first.
 COUNT_BITS = 8
 LAST = (1 << 63) - 1
-#: Runs of one minimiser in the corpus beyond which their windows are dealt by digest, and a digest's bytes.
-HOT, DIGEST = 10_000, 16
+#: Runs of one minimiser in the corpus beyond which they are cut into single windows, and so share no bucket.
+HOT = 2_000
+ID = ["doc_id", "key"]
 LOW = np.uint64(0xFFFFFF)
 
 
@@ -79,176 +83,210 @@ def runs_of(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarra
     return at[first], np.diff(np.append(first, len(at))), anchor, grams[anchor]
 
 
+def joined(grams: np.ndarray, steps: list[int], n: int) -> np.ndarray:
+    """A hash of the grams ``steps`` places on, for each of ``n`` places."""
+    x = np.zeros(max(0, n), np.uint64)
+    for k in steps:
+        x = mix(x * np.uint64(0xC2B2AE3D27D4EB4F) + grams[k : k + len(x)])
+    return x
+
+
 def rows(columns: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def dealt(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, doc_id, text) by key: one exchange of the texts, which the steps share. A null text is empty; a null doc_id comes after all others. Rows with one doc_id and text share a key."""
-    id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+def text_hash(body: Column) -> Column:
+    """With the doc_id, what a document is known by."""
+    return F.xxhash64(body)
+
+
+def _known(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, key, text) of each row: a null text is empty, a null doc_id comes after all others. Rows with one doc_id and text share doc_id and key."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(id_, body).alias("key"), id_.alias("doc_id"), body.alias("text")).repartition(partitions(docs.sparkSession), "key")
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), text_hash(body).alias("key"), body.alias("text"))
+
+
+def dealt(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, key, text) by document: one exchange of the texts, which the steps share."""
+    return _known(docs, text, doc_id).repartition(partitions(docs.sparkSession), *ID)
 
 
 def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key) of each row whose text a smaller doc_id has too. Digests are summed before they are shuffled, and texts stay where they are."""
-    id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.xxhash64(id_, body).alias("key"), id_.alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    """(doc_id, key) of each row whose text a smaller doc_id has too. Digests are summed before they are shuffled, and texts stay where they are."""
+    own = _known(docs, text, doc_id).select(*ID, F.unhex(F.sha2("text", 256)).alias("digest"))
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
-    return cut(own.join(first, "digest").where("doc_id > first").select("key").distinct())
+    return cut(own.join(first, "digest").where("doc_id > first").select(*ID).distinct())
 
 
 def originals(texts: DataFrame, copied: DataFrame) -> DataFrame:
     # not an anti join: that would be pushed below the exchange of the texts, which then could not be shared
-    marked = texts.join(copied.withColumn("_copied", F.lit(True)).hint("shuffle_hash"), "key", "left")
-    return marked.where("_copied is null").select("key", "doc_id", "text")
+    marked = texts.join(copied.withColumn("_copied", F.lit(True)).hint("shuffle_hash"), ID, "left")
+    return marked.where("_copied is null").select(*ID, "text")
 
 
 def with_copies(removed: DataFrame, copied: DataFrame) -> DataFrame:
     """``removed`` and, for each copy, a mark that all its windows occur earlier."""
-    whole = copied.select("key", F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("count"))).alias("removed"))
+    whole = copied.select(*ID, F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("count"))).alias("removed"))
     return removed.unionByName(whole)
 
 
-def runs(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(gram, key, run, more, m): a row for each minimiser of a batch, with its first run, the others, and how many it stands for; ``scan`` gives (text's number, packed run, hash) of a list of texts."""
-    pair = pa.struct([("key", pa.int64()), ("run", pa.int64())])
+def tally(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
+    """(gram, m): how often a batch has each hash of ``scan``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, gram in scan(batch):
+                own, m = np.unique(gram, return_counts=True)
+                yield rows([own.view(np.int64), m], ["gram", "m"], [pa.int64()] * 2)
+
+    return source.mapInArrow(run, "gram long, m long")
+
+
+def places(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
+    """(gram, doc_id, key, run) of each run of ``scan``, which gives (row's number, packed run, hash) of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for owner, packed, gram in scan(batch.column(2)):
-                order = np.argsort(gram, kind="stable")
-                own, key, packed = gram[order], keys[owner[order]], packed[order]
-                new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(own)))
-                rest = pa.StructArray.from_arrays([pa.array(key[~new]), pa.array(packed[~new])], fields=list(pair))
-                more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count - 1))).astype(np.int32)), rest)
-                yield rows([own[first].view(np.int64), key[first], packed[first], more, count], ["gram", "key", "run", "more", "m"], [pa.int64()] * 3 + [None, pa.int64()])
+            ids, keys = (batch.column(k).to_numpy() for k in (0, 1))
+            for owner, packed_, gram in scan(batch):
+                yield rows([gram.view(np.int64), ids[owner], keys[owner], packed_], ["gram", *ID, "run"], [pa.int64()] * 4)
 
-    return texts.mapInArrow(run, "gram long, key long, run long, more array<struct<key:long,run:long>>, m long")
+    return source.mapInArrow(run, "gram long, doc_id long, key long, run long")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """(key, runs): of each document, the (run, gram, hot) whose minimiser occurs more than once."""
-    twice = found.withColumn("n", F.sum("m").over(Window.partitionBy("gram"))).where("n > 1")
-    each = twice.select("gram", (F.col("n") > HOT).alias("hot"), F.explode(F.concat(F.array(F.struct("key", "run")), "more")).alias("x"))
-    return each.groupBy("x.key").agg(F.collect_set(F.struct("x.run", "gram", "hot")).alias("runs"))
+def repeated(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
+    """(gram, doc_id, key, run, n) of the runs whose hash occurs ``n`` > 1 times; a join, so that a frequent hash may be several tasks'."""
+    counts = tally(source, scan).groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1")
+    return places(source, scan).join(counts, "gram")
 
 
-PACKED = ["gram", "key", "doc_id", "run", "body"]
-PACKED_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def of_documents(found: DataFrame) -> DataFrame:
+    return found.groupBy(*ID).agg(F.collect_set(F.struct("run", "gram")).alias("runs"))
+
+
+def candidates(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], window_hashes: Callable[[str], np.ndarray]) -> DataFrame:
+    """(doc_id, key, runs): of each document, the (run, gram) that another run shares; those of hot minimisers as single windows."""
+
+    def whole(batch: pa.RecordBatch) -> Iterator[tuple]:
+        yield from scan(batch.column(2))
+
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, (text, pairs) in enumerate(zip(batch.column(2), batch.column(3))):
+            start, count, anchor = unpack_run(np.sort(pairs.values.field(0).to_numpy()))
+            at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield np.full(len(at), i), pack_run(at, np.ones(len(at), np.int64), np.repeat(anchor, count)), window_hashes(text.as_py())[at]
+
+    every = repeated(texts, whole)
+    hot = texts.join(of_documents(every.where(F.col("n") > HOT)).hint("shuffle_hash"), ID).select(*ID, "text", "runs")
+    found = every.where(F.col("n") <= HOT).drop("n").unionByName(repeated(hot, windows).drop("n"))
+    return of_documents(found)
+
+
+PACKED = ["gram", *ID, "run", "body", "also"]
+PACKED_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
 
 def packed(texts: DataFrame, found: DataFrame, cover: Callable[[str, np.ndarray], list[bytes]], within: bool) -> DataFrame:
-    """PACKED of each repeated run: its super-window, made by ``cover(text, runs)``.
+    """PACKED of each repeated run: its super-window, made by ``cover(text, runs)``, and where else the document has it.
 
     ``within``: an earlier place in the same document counts. A super-window that an earlier row
-    of the batch has is sent without a body: all its windows occur earlier.
+    of the batch has is sent without a body: all its windows occur earlier. Such neighbours are one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            order = sorted(range(batch.num_rows), key=ids.__getitem__)
-            first: dict[tuple, tuple[int, int]] = {}
+            ids, keys = (batch.column(k).to_pylist() for k in (0, 1))
+            first: dict[tuple, tuple[int, int, int, list]] = {}
             done: set[tuple[int, int]] = set()
-            out: list[list] = [[], [], [], [], []]
-            lists = batch.column(3)
-            keys = batch.column(0).to_pylist()
-            for i in order:
-                if keys[i] in done:  # a repeated row: its document has been sent
+            out: list[list] = [[] for _ in PACKED]
+            for i in sorted(range(batch.num_rows), key=ids.__getitem__):
+                if (ids[i], keys[i]) in done:  # a repeated row: its document has been sent
                     continue
-                done.add(keys[i])
-                pairs = lists[i].values
-                run_, gram, hot = (pairs.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                done.add((ids[i], keys[i]))
+                pairs = batch.column(3)[i].values
+                run_, gram = (pairs.field(k).to_numpy() for k in range(2))
                 by = np.argsort(run_, kind="stable")
-                run_, gram, hot = run_[by], gram[by], hot[by].astype(bool)
-                text = batch.column(2)[i].as_py()
-                sent = list(zip(run_[~hot].tolist(), gram[~hot].tolist(), cover(text, run_[~hot])))
-                if hot.any():
-                    start, count, anchor = unpack_run(run_[hot])
-                    at = np.concatenate([np.arange(s, s + c) for s, c in zip(start.tolist(), count.tolist())])
-                    single = pack_run(at, np.ones(len(at), np.int64), np.repeat(anchor, count))
-                    for r, body in zip(single.tolist(), cover(text, single)):
-                        digest = hashlib.blake2b(body, digest_size=DIGEST).digest()
-                        sent.append((r, int.from_bytes(digest[:8], "little", signed=True), digest))
-                for r, g, body in sent:
-                    start, count, anchor = unpack_run(r)
-                    place = (ids[i], start)
-                    before = first.setdefault((body, 0 if len(body) == DIGEST else anchor - start), place)
-                    earlier = before < place if within else before[0] < ids[i]
-                    for column, value in zip(out, (g, keys[i], ids[i], r, None if earlier else body)):
+                run_, gram = run_[by], gram[by]
+                start, count, anchor = (x.tolist() for x in unpack_run(run_))
+                bare = None
+                for r, g, body, s, n, a in zip(run_.tolist(), gram.tolist(), cover(batch.column(2)[i].as_py(), run_), start, count, anchor):
+                    also: list[int] = []
+                    d, k, at, others = first.setdefault((body, a - s), (ids[i], keys[i], s, also))
+                    if d < ids[i] or within and at < s:
+                        if bare and bare[0] + bare[1] == s and bare[1] + n < 1 << COUNT_BITS:
+                            bare[1] += n
+                            out[3][bare[2]] = (bare[0] << 2 * COUNT_BITS) | (bare[1] << COUNT_BITS)
+                            continue
+                        bare = [s, n, len(out[0])]
+                        r, body = (s << 2 * COUNT_BITS) | (n << COUNT_BITS), None
+                    elif others is not also and k == keys[i]:
+                        others.append(s)
+                        continue
+                    for column, value in zip(out, (g, ids[i], keys[i], r, body, also)):
                         column.append(value)
                 if len(out[0]) > 20_000:
                     yield rows(out, PACKED, PACKED_KINDS)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in PACKED]
             if out[0]:
                 yield rows(out, PACKED, PACKED_KINDS)
 
-    return texts.join(found, "key").select("key", "doc_id", "text", "runs").mapInArrow(run, "gram long, key long, doc_id long, run long, body binary")
-
+    return texts.join(found, ID).select(*ID, "text", "runs").mapInArrow(run, "gram long, doc_id long, key long, run long, body binary, also array<long>")
 
-def digests(doc_id: np.ndarray, start: np.ndarray, bodies: list[bytes], within: bool) -> np.ndarray:
-    """Which of the windows, given by digest and sorted by (doc_id, start) among equal ones, occur earlier."""
-    first: dict[bytes, tuple[int, int]] = {}
-    gone = np.zeros(len(bodies), bool)
-    for i, (d, s, body) in enumerate(zip(doc_id.tolist(), start.tolist(), bodies)):
-        before = first.setdefault(body, (d, s))
-        gone[i] = before < (d, s) if within else before[0] < d
-    return gone
 
-
-def earlier(sent: DataFrame, find: Callable, within: bool, most: int = 4 << 20) -> DataFrame:
-    """(key, removed): of each document the (start, count) of windows that occur earlier; ``within`` as in :func:`packed`.
+def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
+    """(doc_id, key, removed): of each document the (start, count) of windows that occur earlier.
 
     ``find(gram, doc_id, run, bodies)`` gets whole buckets sorted by (gram, doc_id, run) and gives
     (row, start, count) of such windows. Buckets are put together up to ``most`` bytes.
     """
-    spread = F.when(F.col("body").isNull(), F.xxhash64("key", "run")).otherwise(F.col("gram"))
+    spread = F.when(F.col("body").isNull(), F.xxhash64(*ID, "run")).otherwise(F.col("gram"))
     by = sent.withColumn("bucket", spread).repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id", "run")
 
+    def settle(whole: pa.Table) -> pa.RecordBatch:
+        has = np.array(whole.column("body").is_valid())
+        ids, keys, runs = (whole.column(c).to_numpy() for c in (*ID, "run"))
+        start, count, _ = unpack_run(runs[~has])
+        got = [(ids[~has], keys[~has], start, count)]
+        if has.any():
+            own = whole.filter(pa.array(has))
+            row, start, count = find(own.column("bucket").to_numpy(), ids[has], runs[has], own.column("body").to_pylist())
+            got.append((ids[has][row], keys[has][row], start, count))
+            lengths = pc.list_value_length(own.column("also")).to_numpy()
+            if lengths.any():  # what goes at the first place goes at the others too
+                n, begins = lengths[row], np.cumsum(lengths) - lengths
+                other = pc.list_flatten(own.column("also")).to_numpy()[np.repeat(begins[row], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                step = start - unpack_run(runs[has][row])[0]
+                got.append((np.repeat(ids[has][row], n), np.repeat(keys[has][row], n), other + np.repeat(step, n), np.repeat(count, n)))
+        return rows([np.concatenate(x) for x in zip(*got)], [*ID, "start", "count"], [pa.int64()] * 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def settle(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            has = np.array(whole.column("body").is_valid())
-            key = whole.column("key").to_numpy()
-            start, count, _ = unpack_run(whole.column("run").to_numpy()[~has])
-            got = [(key[~has], start, count)]
-            single = has & (np.array(pc.fill_null(pc.binary_length(whole.column("body")), 0)) == DIGEST)
-            if single.any():
-                own = whole.filter(pa.array(single))
-                start, count, _ = unpack_run(own.column("run").to_numpy())
-                gone = digests(own.column("doc_id").to_numpy(), start, own.column("body").to_pylist(), within)
-                got.append((own.column("key").to_numpy()[gone], start[gone], count[gone]))
-                has &= ~single
-            if has.any():
-                own = whole.filter(pa.array(has))
-                row, start, count = find(own.column("bucket").to_numpy(), own.column("doc_id").to_numpy(), own.column("run").to_numpy(), own.column("body").to_pylist())
-                got.append((own.column("key").to_numpy()[row], start, count))
-            yield rows([np.concatenate(x) for x in zip(*got)], ["key", "start", "count"], [pa.int64()] * 3)
-
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.nbytes
-            if size < most:
+            last = batch.column(0)[-1]
+            if size < most or last == held[0].column(0)[0]:  # one bucket so far is not put together anew for each batch
                 continue
             whole = pa.Table.from_batches(held)
-            bucket = whole.column("bucket").to_numpy()
-            last = int(np.searchsorted(bucket, bucket[-1]))
-            if last:
-                yield from settle(whole.slice(0, last))
-                held = whole.slice(last).to_batches()
-                size = sum(b.nbytes for b in held)
+            at = int(np.searchsorted(whole.column("bucket").to_numpy(), last.as_py()))
+            yield settle(whole.slice(0, at))
+            held = whole.slice(at).to_batches()
+            size = sum(b.nbytes for b in held)
         if held:
-            yield from settle(pa.Table.from_batches(held))
+            yield settle(pa.Table.from_batches(held))
+
+    found = by.select("bucket", *ID, "run", "body", "also").mapInArrow(run, "doc_id long, key long, start long, count long")
+    return found.groupBy(*ID).agg(F.collect_list(F.struct("start", "count")).alias("removed"))
+
 
-    found = by.select("bucket", "key", "doc_id", "run", "body").mapInArrow(run, "key long, start long, count long")
-    return found.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("removed"))
+def search(docs: DataFrame, scan: Callable, window_hashes: Callable, cover: Callable, find: Callable, within: bool) -> tuple[DataFrame, DataFrame]:
+    """The dealt texts, and (doc_id, key, removed) with the (start, count) of the windows that occur earlier; -1 for all of a copy."""
+    texts, copied = dealt(docs), copies(docs)
+    own = originals(texts, copied)
+    return texts, with_copies(earlier(packed(texts, candidates(own, scan, window_hashes), cover, within), find), copied)
 
 
 def apply(texts: DataFrame, removed: DataFrame, make: Callable[[str, np.ndarray, np.ndarray], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -264,7 +302,7 @@ def apply(texts: DataFrame, removed: DataFrame, make: Callable[[str, np.ndarray,
                 made.append(make(text.as_py(), *((pairs.field(k).to_numpy() for k in (0, 1)) if pairs is not None else (none, none))))
             yield rows([batch.column(0), *map(list, zip(*made))], ["doc_id", *names], [pa.int64(), *kinds])
 
-    out = texts.join(removed, "key", "left").select("doc_id", "text", "removed").mapInArrow(run, f"doc_id long, {schema}")
+    out = texts.join(removed, ID, "left").select("doc_id", "text", "removed").mapInArrow(run, f"doc_id long, {schema}")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))
 
 

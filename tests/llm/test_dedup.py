@@ -49,6 +49,37 @@ def test_hot_minimisers(docs, odd, monkeypatch, most):
     assert rows(superkmers.dedup(docs(own)), *OP10) == brute.op10(own)
 
 
+def test_colliding_keys(docs, odd, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sw, "text_hash", lambda body: F.pmod(F.xxhash64(body), F.lit(2)).cast("long"))
+    assert rows(suffixes.dedup(docs(single(odd))), *OP9) == brute.op9(single(odd))
+    assert rows(superkmers.dedup(docs(single(odd))), *OP10) == brute.op10(single(odd))
+
+
+@pytest.mark.parametrize("hot", [3, sw.HOT])
+def test_dedup_of_documents(docs, spark, data, monkeypatch, hot):
+    monkeypatch.setattr(sw, "HOT", hot)
+    own = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    assert rows(suffixes.dedup(docs(own)), *OP9) == brute.op9(own)
+    assert rows(superkmers.dedup(docs(own)), *OP10) == brute.op10(own)
+
+
+@pytest.mark.parametrize("most", [1, 4 << 20])
+def test_buckets_over_many_batches(spark, docs, monkeypatch, most):
+    rng = random.Random(8)
+    passage = " ".join(str(rng.randrange(10**4)) for _ in range(60))
+    own = [(k, f"{rng.random()} {passage} {rng.random()}" + " la" * (k % 3 * 60)) for k in range(40)]
+    monkeypatch.setattr(sw.earlier, "__defaults__", (most,))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert rows(suffixes.dedup(docs(own)), *OP9) == brute.op9(own)
+        assert rows(superkmers.dedup(docs(own)), *OP10) == brute.op10(own)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_dedup_of_small_alphabets(docs, seed):
     rng = random.Random(seed)
@@ -65,9 +96,10 @@ def test_empty_and_clashing_columns(spark, docs):
 
     rng = random.Random(3)
     text = " ".join(str(rng.randrange(10**6)) for _ in range(80))
-    clash = docs([(1, text), (2, text + " end")]).withColumns({c: F.lit(7) for c in ("key", "runs", "removed", "gram", "fp", "start", "bucket", "component_id")})
+    clash = docs([(1, text), (2, text + " end")]).withColumns({c: F.lit(7) for c in ("key", "_key", "_gone", "_copied", "row", "c0", "runs", "removed", "gram", "fp", "start", "bucket", "component_id")})
     assert rows(superkmers.dedup(clash), "doc_id", "n_removed") == [(1, 0), (2, 80)]
     assert rows(superkmers.rewritten(clash), "doc_id", "text", "key", "n_chars") == [(1, text, 7, len(text)), (2, "end", 7, 3)]
+    assert rows(suffixes.dedup(clash), "doc_id", "n_removed") == [(1, 0), (2, len(text))]
     assert simhash.one_of_each(clash, simhash.near_duplicates(clash)).columns == clash.columns
 
 
