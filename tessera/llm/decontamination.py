@@ -1,20 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units and names become typed placeholders, so that a benchmark item whose numbers and
-names were exchanged keeps its template. Windows of eight template words are hash-joined with
-those of the items; windows on one alignment of document and item make a match. Where templates
-have placeholders, the values are compared: a match must exchange each value of the item for one
-value of the document throughout, and no two for the same. Besides, windows of thirteen plain
-words, or of all words of a shorter item, find verbatim copies whatever their template is. A
-second, looser template has a number with its separators as one placeholder, any capitalised word
-as a name, and units compared without their plural.
+Texts are cut into words once. A number (its separators in it), a unit after a number and a
+capitalised word become typed placeholders, so that a benchmark item whose numbers and names were
+exchanged keeps its template. Windows of eight template words are hash-joined with those of the
+items; windows on one alignment of document and item make a match, in which each value of the
+item must be exchanged for one value of the document throughout, and no two for the same.
+Besides, windows of thirteen plain lower-case words, or of all words of a shorter item, find
+verbatim copies whatever their template is and however they are capitalised. A word is hashed
+once for both, windows are hashes of these hashes, and all windows of a place take one join.
 """
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, table
@@ -22,75 +20,71 @@ from .shared import cut, table
 WINDOW = 8
 #: A match covers at least so many words of the item, or all of a shorter one.
 MIN_WORDS = 13
-#: Of an item's window, at least this part are words, not placeholders.
-LITERAL_PART = 0.5
+#: A template window says something from so many plain words on; others of the item are left to verbatim windows.
+LITERAL_WORDS = 2
 #: The items' windows, or the documents' ids, are broadcast if they are at most so many rows (of under 64 bytes each).
 BROADCAST_ROWS = 200_000
 # Units that may follow a number.
-UNITS = "km|cm|mm|kg|mg|ml|kwh|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|dollars?|euros?|cents?|percent|m|g|l|s|h"
-#: Placeholders begin with a sign that texts lose first: n a number, u a unit, a a name.
-MARK = "\x01"
-#: Stands for a separator within a number.
-JOINT = "\u00b7"
-BETWEEN = r"[\x00\x02-\x20\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UNITS = "km cm mm kg mg ml kwh mph kmh hour hours minute minutes second seconds day days week weeks month months year years mile miles meter meters metre metres dollar dollars euro euros cent cents percent m g l s h".split()
+#: What stands for a number, a unit and a name; no word begins with it.
+NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01a"
+TEMPLATE, PLAIN = 0, 1
+#: Stands for a point or comma between digits, which is part of a number.
+JOINT = "·"
+#: Between words: ASCII other than digits and letters, sign by sign, as ranges are slow to match.
+BETWEEN = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]++"
+
+
+def cut_words(text: Column) -> Column:
+    """The words of a text as they stand, a number and the letters after it apart; there may be an empty one first and one last."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,](?=[0-9])", JOINT)
+    return F.split(F.regexp_replace(joined, r"([0-9])(?=\p{L})", "$1 "), BETWEEN)
+
 
+def is_number(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
 
-def marked(text: Column, values: bool) -> Column:
-    """The text with placeholders; with ``values`` each still followed by what it stands for, at the same words."""
-    name, number, unit = ("$0", "$0", "$2") if values else ("", "", "")
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    # a capitalised word after a word that does not end a sentence
-    named = F.regexp_replace(plain, r"\p{Lu}(?<=[^\s.!?:;]\x20\p{Lu})\p{Ll}+(?![\p{L}\p{N}])", MARK + "a" + name)
-    counted = F.regexp_replace(named, r"[0-9]+", MARK + "n" + number)
-    return F.regexp_replace(counted, rf"({MARK}n[0-9]*)\x20?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", rf"$1 {MARK}u{unit}")
 
+def value_of(low: Column) -> Column:
+    """What a placeholder's lower-case word is compared by: units without their plural."""
+    return F.regexp_replace(low, r"(\p{L}{2})s$", "$1")
 
-def template_words(text: Column, values: bool = False) -> Column:
-    """Lower-case words of the marked text, an empty array if there are none."""
-    words = F.split(F.lower(F.trim(F.regexp_replace(marked(text, values), rf"^{BETWEEN}", ""))), BETWEEN)
-    return F.filter(words, lambda w: w != "") if values else words
 
+def hash_of(word: str) -> int:
+    """What xxhash64() gives for it."""
+    import xxhash
 
-def loose_words(text: Column, values: bool = False) -> Column:
-    """As :func:`template_words`, of the looser template."""
-    name, number, unit = ("$0", "$0", "$2") if values else ("", "", "")
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    named = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", MARK + "a" + name)
-    # thousands lose their separators, others become a sign that doesn't part words
-    joined = F.regexp_replace(F.regexp_replace(named, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", ""), r"(?<=[0-9])[.,](?=[0-9])", JOINT)
-    counted = F.regexp_replace(joined, rf"[0-9]+(?:{JOINT}[0-9]+)*", MARK + "n" + number)
-    united = F.regexp_replace(counted, rf"({MARK}n[0-9{JOINT}]*)\x20?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", rf"$1 {MARK}u{unit}")
-    words = F.split(F.lower(F.trim(F.regexp_replace(united, rf"^{BETWEEN}", ""))), BETWEEN)
-    if not values:
-        return words
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.when(w.startswith(MARK + "u"), F.regexp_replace(w, r"(?<=\p{L}{2})s$", "")).otherwise(w))
+    return int.from_bytes(xxhash.xxh64_digest(word.encode(), 42), "big", signed=True)
 
 
-def plain_words(text: Column, values: bool = False) -> Column:
-    """Lower-case words of the text as it is, an empty array if there are none."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    return F.filter(F.split(F.lower(F.trim(F.regexp_replace(plain, rf"^{BETWEEN}", ""))), BETWEEN), lambda w: w != "")
+def hashed_words(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, and the hashes of the plain and of the template words of ``text``: (plain, template)."""
+    number, unit, name = (F.lit(hash_of(x)) for x in (NUMBER, UNIT, NAME))
+    own = texts.select(*keep, cut_words(F.col("text")).alias("words")).withColumn("plain", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    own = own.withColumn("named", F.zip_with("words", "plain", lambda w, h: F.when((w >= "a") & (w < "{"), h).when(is_number(w), number).when(w.rlike(r"^\p{Lu}\p{Ll}+$"), name).otherwise(h)))  # most begin with a small letter
+    measured = F.transform("named", lambda h, i: F.when(h.isin([hash_of(u) for u in UNITS]) & F.coalesce(F.get("named", i - 1) == number, F.lit(False)), unit).otherwise(h))
+    return own.select(*keep, "plain", F.when(F.array_contains("named", number), measured).otherwise(F.col("named")).alias("template"))
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """The hash of each ``size`` consecutive words, by place; null if there are too few."""
-    n = F.size(words) - size
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(words, i + 1, size))))
+def window_hash(kind: int, width: int, words: Column, at: Column) -> Column:
+    return F.xxhash64(F.lit(kind), F.lit(width), F.slice(words, at + 1, width))
 
 
-def item_windows(items: DataFrame, size: int, words_of=template_words) -> DataFrame:
-    """(hash, item, i, n): the items' windows, of ``size`` words or of all words of a shorter item.
+def item_windows(items: DataFrame, size: int, least: int) -> DataFrame:
+    """(hash, kind, width, item, i, n): the items' windows, template ones of ``size`` words and plain ones of ``least``, or of all words of a shorter item.
 
-    Items of one template and text are one. Windows of mostly placeholders say nothing and are left out.
+    Items of equal texts are one, that of the smallest item_id. Template windows of fewer than LITERAL_WORDS plain words say nothing.
     """
-    whole = F.filter(words_of(F.col("text")), lambda w: w != "")
-    own = items.select(F.col("item_id").cast("long").alias("item"), whole.alias("words"), F.col("text")).where(F.size("words") > 0)
-    own = own.groupBy("words", "text").agg(F.min("item").alias("item"))
-    width = F.least(F.lit(size), F.size("words"))
-    each = own.select("item", F.size("words").alias("n"), width.alias("width"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("i"))
+    own = items.where(F.col("text").isNotNull()).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item"))
+    empty = F.lit(hash_of(""))
+    whole = hashed_words(own, "item").select("item", *[F.filter(c, lambda h: h != empty).alias(c) for c in ("plain", "template")]).where(F.size("plain") > 0)
+    n = F.size("plain")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.least(F.lit(w), n).alias("width"), F.col(c).alias("words")) for k, w, c in ((TEMPLATE, size, "template"), (PLAIN, least, "plain"))])
+    each = whole.select("item", n.alias("n"), F.explode(kinds).alias("x")).select("item", "n", "x.*").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))))
     part = F.slice("words", F.col("i") + 1, F.col("width"))
-    literal = F.size(F.filter(part, lambda w: ~w.startswith(MARK)))
-    return each.where(literal >= F.col("width") * LITERAL_PART).select(F.xxhash64(part).alias("hash"), "width", "item", "i", "n")
+    literal = F.size(F.filter(part, lambda h: ~h.isin([hash_of(x) for x in (NUMBER, UNIT, NAME)])))
+    each = each.where((F.col("kind") == PLAIN) | (literal >= LITERAL_WORDS))
+    return each.select(F.xxhash64("kind", "width", part).alias("hash"), "kind", "width", "item", "i", "n")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -98,82 +92,64 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+MATCHES = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, coverage double, n_slots long, changed_slots long"
+
+
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, n_windows, covered_words, item_words, coverage, n_slots, changed_slots): the items that documents hold.
 
     ``covered_words`` of the item's template are in matching windows on one alignment, at least
     ``min_words`` or all of a shorter item; values of placeholders must be exchanged one to one.
-    Else a verbatim copy of the whole item, or of so many words in a row where values did not refuse
-    the templates, is a match; its words and windows are plain ones, without slots. Else the looser
-    template is tried in the same way as the first. A document and an item give one row, that of the
-    best alignment. Null or empty texts match nothing; of items with equal texts the smallest item_id
+    Else a verbatim copy of the whole item, or of ``min_words`` in a row where values did not refuse
+    the template, is a match, without slots. A document and an item give one row, that of the
+    alignment that covers most. Null or empty texts match nothing; of items with equal texts the smallest item_id
     stands for all. Documents without a doc_id are matched and have a null one. Rows with one doc_id are one document.
     """
     body = F.coalesce("text", F.lit(""))
     own = docs.select(F.xxhash64("doc_id", body).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    by_template, refused = _found(own, items, template_words, size, min_words)
-    verbatim, _ = _found(own, items, plain_words, min_words, min_words, refused)
-    loosely, _ = _found(own, items, loose_words, size, min_words)
-    found = [x.withColumn("route", F.lit(k)) for k, x in enumerate((by_template, verbatim, loosely))]
-    every = functools.reduce(DataFrame.unionByName, found)
-    values = [c for c in every.columns if c not in ("doc_id", "item_id", "route")]
-    first = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("route", *values)).alias("_first"))
-    return first.select("doc_id", "item_id", *[F.col(f"_first.{c}").alias(c) for c in values])
-
-
-def _found(own: DataFrame, items: DataFrame, words_of, size: int, min_words: int, refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The matches of windows of ``size`` of the words that ``words_of`` makes of texts, and (key, item) of the alignments that values refused.
-
-    With ``refused`` words are plain: no values are compared, and of the (key, item) there only whole items match.
-    """
-    windows = cut(item_windows(items, size, words_of))
-    hashed = own.select("key", "doc_id", words_of(F.col("text")).alias("words"))
-    index = _few(windows)
-    widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most ``size`` numbers
-    found = None
-    for width in sorted(widths):
-        places = hashed.select("key", "doc_id", F.posexplode(window_hashes(F.col("words"), width)).alias("at", "hash"))
-        part = places.join(index.where(F.col("width") == width).drop("width"), "hash").select("key", "doc_id", "at", "item", "i", "n", F.lit(width).alias("width"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        none = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, coverage double, n_slots long, changed_slots long"
-        return own.sparkSession.createDataFrame([], none), own.sparkSession.createDataFrame([], "key long, item long")
-    aligned = found.groupBy("key", "doc_id", "item", (F.col("at") - F.col("i")).alias("shift")).agg(
-        F.sort_array(F.collect_set("i")).alias("starts"), F.first("n").alias("n"), F.first("width").alias("width")
-    )
+    windows = cut(item_windows(items, size, min_words))
+    widths = sorted((r[0], r[1]) for r in windows.select("kind", "width").distinct().collect())  # at most ``size + min_words`` rows
+    if not widths:
+        return own.sparkSession.createDataFrame([], MATCHES)
+    words = {TEMPLATE: F.col("template"), PLAIN: F.col("plain")}
+    last = F.size("plain") - min(w for _, w in widths)
+    at_each = hashed_words(own, "key", "doc_id").where(last >= 0).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    hashes = F.array(*[window_hash(k, w, words[k], F.col("at")) for k, w in widths])
+    places = at_each.select("key", "doc_id", "at", F.explode(hashes).alias("hash"))
+    found = places.join(_few(windows), "hash").withColumn("shift", F.col("at") - F.col("i"))
+    aligned = found.groupBy("key", "doc_id", "kind", "item", "shift").agg(F.sort_array(F.collect_set("i")).alias("starts"), F.first("n").alias("n"), F.first("width").alias("width"))
     step = F.transform("starts", lambda x, k: F.when(k == 0, F.col("width")).otherwise(F.least(F.col("width"), x - F.get("starts", k - 1))))
-    covered = F.aggregate(step, F.lit(0), lambda a, x: a + x)
-    good = cut(aligned.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(min_words), F.col("n"))))
-    if refused is None:
-        checked = cut(consistent(good, own, items, words_of))
-        gone = good.join(checked, ["key", "item", "shift"], "left_anti").select("key", "item").distinct()
-    else:
-        part = good.where("covered < n").join(refused, ["key", "item"], "left_anti").select(*good.columns)
-        checked = good.where("covered = n").unionByName(part).withColumn("n_slots", F.lit(0)).withColumn("changed", F.lit(0))
-        gone = refused
-    best = Window.partitionBy("doc_id", "key", "item").orderBy(F.desc("covered"), "shift")
-    one = checked.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    rows = one.groupBy("doc_id", F.col("item").alias("item_id")).agg(
-        F.max(F.size("starts")).cast("long").alias("n_windows"), F.max("covered").cast("long").alias("covered_words"), F.max("n").cast("long").alias("item_words"),
-        F.max(F.col("covered") / F.col("n")).alias("coverage"), F.max("n_slots").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("changed_slots"),
-    )
-    return rows, gone
-
-
-def consistent(good: DataFrame, own: DataFrame, items: DataFrame, words_of=template_words) -> DataFrame:
+    aligned = aligned.withColumn("covered", F.aggregate(step, F.lit(0), lambda a, x: a + x))
+    good = cut(aligned.where(F.col("covered") >= F.least(F.lit(min_words), F.col("n"))))
+    templates, plain = good.where(F.col("kind") == TEMPLATE), good.where(F.col("kind") == PLAIN)
+    checked = cut(consistent(templates, own, items))
+    refused = templates.join(checked, ["key", "item", "shift"], "left_anti").select("key", "item").distinct()
+    whole, part = plain.where("covered = n"), plain.where("covered < n").join(refused, ["key", "item"], "left_anti").select(*plain.columns)
+    verbatim = whole.unionByName(part).withColumn("n_slots", F.lit(0)).withColumn("changed", F.lit(0))
+    every = checked.unionByName(verbatim.select(*checked.columns))
+    best = F.min(F.struct((-F.col("covered")).alias("less"), "kind", "shift", "key", F.size("starts").alias("n_windows"), "covered", "n", "n_slots", "changed"))
+    one = every.groupBy("doc_id", F.col("item").alias("item_id")).agg(best.alias("b"))
+    longs = {"n_windows": "n_windows", "covered_words": "covered", "item_words": "n", "n_slots": "n_slots", "changed_slots": "changed"}
+    out = one.select("doc_id", "item_id", *[F.col(f"b.{v}").cast("long").alias(k) for k, v in longs.items()], (F.col("b.covered") / F.col("b.n")).alias("coverage"))
+    return out.select(*[c.split()[0] for c in MATCHES.split(", ")])
+
+
+def consistent(good: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
     """The alignments whose placeholders' values are exchanged one to one, with n_slots and changed."""
-    item_values = items.select(F.col("item_id").cast("long").alias("item"), words_of(F.col("text"), values=True).alias("item_values"))
-    slotted = good.join(_few(item_values), "item")
+    marks = [hash_of(x) for x in (NUMBER, UNIT, NAME)]
+    held = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item"), "text")
+    named = hashed_words(held, "item", "text").select("item", F.filter("template", lambda h: h != hash_of("")).alias("template"), F.filter(F.transform(cut_words(F.col("text")), F.lower), lambda w: w != "").alias("item_values"))
+    slotted = good.join(_few(named), "item")
     within = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1))))
-    slots = F.filter(within, lambda i: F.get("item_values", i).startswith(MARK))
-    slotted = cut(slotted.withColumn("slots", slots).withColumn("there", F.transform("slots", lambda i: F.get("item_values", i))).drop("item_values"))
+    slots = F.filter(within, lambda i: F.get("template", i).isin(marks))
+    slotted = cut(slotted.withColumn("slots", slots).withColumn("there", F.transform("slots", lambda i: value_of(F.get("item_values", i)))).drop("item_values", "template"))
     plain = slotted.where(F.size("slots") == 0).withColumn("n_slots", F.lit(0)).withColumn("changed", F.lit(0)).drop("slots", "there")
     open_ = slotted.where(F.size("slots") > 0)
     if open_.isEmpty():
         return plain
     keys = _few(open_.select("key").distinct())
-    texts = own.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text"), values=True).alias("doc_values"))
-    both = open_.join(texts, "key").withColumn("here", F.transform("slots", lambda i: F.get("doc_values", (i + F.col("shift")).cast("int")))).drop("doc_values")
+    texts = own.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", F.transform(cut_words(F.col("text")), F.lower).alias("doc_values"))
+    both = open_.join(texts, "key").withColumn("here", F.transform("slots", lambda i: value_of(F.get("doc_values", (i + F.col("shift")).cast("int"))))).drop("doc_values")
     pairs = F.array_distinct(F.arrays_zip("there", "here"))
     one_to_one = (F.size(pairs) == F.size(F.array_distinct("there"))) & (F.size(pairs) == F.size(F.array_distinct("here")))
     changed = F.size(F.filter(F.arrays_zip("there", "here"), lambda p: ~p["there"].eqNullSafe(p["here"])))
@@ -192,50 +168,59 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _marked_sql(column: str, values: bool) -> str:
-    name, number, unit = (r"\1{m}a\2\3", r"{m}n\0", r"\1 {m}u\2\3") if values else (r"\1{m}a\3", "{m}n", r"\1 {m}u\3")
-    mark = lambda x: "'" + x.replace("{m}", "' || chr(1) || '") + "'"
-    # no looking around here: the neighbours are matched too, and a second pass finds names beside names
-    name_of = lambda x: rf"regexp_replace({x}, '([^\s.!?:;] )(\p{{Lu}}\p{{Ll}}+)([^\p{{L}}\p{{N}}]|$)', {mark(name)}, 'g')"
-    counted = f"regexp_replace({name_of(name_of(f'replace({column}, chr(1), chr(32))'))}, '[0-9]+', {mark(number)}, 'g')"
-    united = rf"regexp_replace({counted}, '(\x01n[0-9]*) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)', {mark(unit)}, 'g')"
-    return rf"regexp_extract_all(lower({united}), '[^\x00\x02-\x20\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+def _words_sql(column: str) -> str:
+    """The words, as :func:`cut_words` without empty ones; without looking around, neighbours are matched too, so a second pass joins what the first one left."""
+    joined = f"coalesce({column}, '')"
+    for _ in range(2):
+        joined = rf"regexp_replace({joined}, '([0-9])[.,]([0-9])', '\1{JOINT}\2', 'g')"
+    return rf"regexp_extract_all(regexp_replace({joined}, '([0-9])(\p{{L}})', '\1 \2', 'g'), '[^{BETWEEN[1:-3]}]+')"
 
 
-#: The same in SQL, a row for each covered word.
+_KIND_SQL = rf"CASE WHEN w >= '0' AND w < ':' THEN chr(1) || 'n' WHEN regexp_matches(w, '^\p{{Lu}}\p{{Ll}}+$') THEN chr(1) || 'a' WHEN lower(w) IN ({', '.join(f"'{u}'" for u in UNITS)}) AND before >= '0' AND before < ':' THEN chr(1) || 'u' ELSE lower(w) END"
+_VALUE_SQL = r"regexp_replace(lower(w), '(\p{L}{2})s$', '\1')"
+
+#: The same in SQL, a row for each word and each covered word.
 ORACLE = f"""
 WITH items AS (
-  SELECT min(item_id) AS item, words, any_value({_marked_sql('text', True)}) AS item_values
-  FROM (SELECT item_id, text, {_marked_sql('text', False)} AS words FROM benchmark WHERE text IS NOT NULL) WHERE len(words) > 0 GROUP BY words, text
+  SELECT min(item_id) AS id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text
+), docs AS (
+  SELECT row_number() OVER () AS id, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+), cut AS (
+  SELECT 'item' AS side, id, {_words_sql('text')} AS words FROM items UNION ALL SELECT 'doc', id, {_words_sql('text')} FROM docs
+), each AS (
+  SELECT side, id, words, unnest(range(1, len(words) + 1)) AS i FROM cut
+), valued AS (
+  SELECT side, id, i - 1 AS i, w, lower(w) AS low, {_KIND_SQL} AS mark, {_VALUE_SQL} AS value FROM (SELECT side, id, i, words[i] AS w, words[i - 1] AS before FROM each)
+), listed AS (
+  SELECT side, id, count(*) AS n, list(low ORDER BY i) AS plain, list(mark ORDER BY i) AS template FROM valued GROUP BY side, id
+), kinds AS (
+  SELECT side, id, n, 0 AS kind, {WINDOW} AS size, template AS words FROM listed UNION ALL SELECT side, id, n, 1, {MIN_WORDS}, plain FROM listed
 ), parts AS (
-  SELECT item, words, len(words) AS n, least({WINDOW}, len(words)) AS width, unnest(range(0, len(words) - least({WINDOW}, len(words)) + 1)) AS i FROM items
+  SELECT id AS item, kind, n, least(size, n) AS width, words, unnest(range(0, n - least(size, n) + 1)) AS i FROM kinds WHERE side = 'item'
 ), windows AS (
-  SELECT item, n, width, i, array_to_string(list_slice(words, i + 1, i + width), ' ') AS w FROM parts
-  WHERE len(list_filter(list_slice(words, i + 1, i + width), lambda x: NOT starts_with(x, chr(1)))) >= width * {LITERAL_PART}
-), docs AS (
-  SELECT row_number() OVER () AS key, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
-), marked AS (
-  SELECT key, doc_id, text, {_marked_sql('text', False)} AS words FROM docs
+  SELECT item, kind, n, width, i, array_to_string(list_slice(words, i + 1, i + width), ' ') AS w FROM parts
+  WHERE kind = 1 OR len(list_filter(list_slice(words, i + 1, i + width), lambda x: NOT starts_with(x, chr(1)))) >= {LITERAL_WORDS}
 ), places AS (
-  SELECT key, doc_id, words, width, unnest(range(0, greatest(0, len(words) - width + 1))) AS at_ FROM marked, (SELECT DISTINCT width FROM windows)
+  SELECT k.id, k.kind, x.width, k.words, unnest(range(0, greatest(0, k.n - x.width + 1))) AS at_ FROM kinds k JOIN (SELECT DISTINCT kind, width FROM windows) x ON k.kind = x.kind WHERE side = 'doc'
 ), hits AS (
-  SELECT p.key, p.doc_id, w.item, w.n, w.width, w.i, p.at_ - w.i AS shift FROM (SELECT key, doc_id, width, at_, array_to_string(list_slice(words, at_ + 1, at_ + width), ' ') AS w FROM places) p JOIN windows w ON p.w = w.w AND p.width = w.width
+  SELECT p.id AS doc, w.item, w.kind, w.n, w.width, w.i, p.at_ - w.i AS shift
+  FROM (SELECT id, kind, width, at_, array_to_string(list_slice(words, at_ + 1, at_ + width), ' ') AS w FROM places) p JOIN windows w ON p.w = w.w AND p.width = w.width AND p.kind = w.kind
 ), starts AS (
-  SELECT key, doc_id, item, n, shift, count(DISTINCT i) AS n_windows FROM hits GROUP BY key, doc_id, item, n, shift
+  SELECT doc, item, kind, n, shift, count(DISTINCT i) AS n_windows FROM hits GROUP BY ALL
 ), covered AS (
-  SELECT DISTINCT key, item, shift, unnest(range(i, i + width)) AS pos FROM hits
-), valued AS (
-  SELECT c.key, c.item, c.shift, t.item_values[c.pos + 1] AS there, m.doc_values[c.pos + c.shift + 1] AS here
-  FROM covered c JOIN items t ON c.item = t.item JOIN (SELECT key, {_marked_sql('text', True)} AS doc_values FROM docs WHERE key IN (SELECT key FROM hits)) m ON c.key = m.key
+  SELECT DISTINCT doc, item, kind, shift, unnest(range(i, i + width)) AS pos FROM hits
+), slots AS (
+  SELECT c.doc, c.item, c.kind, c.shift, CASE WHEN c.kind = 0 AND starts_with(t.mark, chr(1)) THEN t.value END AS there, h.value AS here
+  FROM covered c JOIN valued t ON t.side = 'item' AND t.id = c.item AND t.i = c.pos JOIN valued h ON h.side = 'doc' AND h.id = c.doc AND h.i = c.pos + c.shift
 ), counted AS (
-  SELECT key, item, shift, count(*) AS covered, count(*) FILTER (WHERE starts_with(there, chr(1))) AS n_slots, count(*) FILTER (WHERE starts_with(there, chr(1)) AND there <> here) AS changed,
-         count(DISTINCT there || ' ' || here) FILTER (WHERE starts_with(there, chr(1))) AS pairs, count(DISTINCT there) FILTER (WHERE starts_with(there, chr(1))) AS theres, count(DISTINCT here) FILTER (WHERE starts_with(there, chr(1))) AS heres
-  FROM valued GROUP BY key, item, shift
+  SELECT doc, item, kind, shift, count(*) AS covered, count(there) AS n_slots, count(*) FILTER (WHERE there <> here) AS changed,
+         count(DISTINCT there || chr(3) || here) AS pairs, count(DISTINCT there) AS theres, count(DISTINCT CASE WHEN there IS NOT NULL THEN here END) AS heres
+  FROM slots GROUP BY ALL
 ), good AS (
-  SELECT s.*, c.covered, c.n_slots, c.changed, row_number() OVER (PARTITION BY s.key, s.item ORDER BY c.covered DESC, s.shift) AS r
-  FROM starts s JOIN counted c ON s.key = c.key AND s.item = c.item AND s.shift = c.shift
-  WHERE c.covered >= least({MIN_WORDS}, s.n) AND c.pairs = c.theres AND c.pairs = c.heres
-) SELECT doc_id, item AS item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(max(covered) AS BIGINT) AS covered_words, CAST(max(n) AS BIGINT) AS item_words, max(covered / n) AS coverage,
-         CAST(max(n_slots) AS BIGINT) AS n_slots, CAST(max(changed) AS BIGINT) AS changed_slots
-FROM good WHERE r = 1 GROUP BY doc_id, item
+  SELECT s.*, c.covered, c.n_slots, c.changed, c.pairs = c.theres AND c.pairs = c.heres AS same FROM starts s JOIN counted c USING (doc, item, kind, shift) WHERE c.covered >= least({MIN_WORDS}, s.n)
+), fine AS (
+  SELECT * FROM good g WHERE same AND (kind = 0 OR covered = n OR NOT EXISTS (SELECT 1 FROM good r WHERE r.doc = g.doc AND r.item = g.item AND r.kind = 0 AND NOT r.same))
+) SELECT doc_id, item AS item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(covered AS BIGINT) AS covered_words, CAST(n AS BIGINT) AS item_words, covered / n AS coverage,
+         CAST(n_slots AS BIGINT) AS n_slots, CAST(changed AS BIGINT) AS changed_slots
+FROM (SELECT d.doc_id, f.*, row_number() OVER (PARTITION BY d.doc_id, f.item ORDER BY f.covered DESC, f.kind, f.shift) AS r FROM fine f JOIN docs d ON d.id = f.doc) WHERE r = 1
 """

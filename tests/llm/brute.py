@@ -144,3 +144,68 @@ def op4(rows, items, size=8, least=13):
                 found[item, i - k] |= set(range(k, k + size))
         out |= {(doc, item) for (item, _), covered in found.items() if len(covered) >= min(least, length[item])}
     return out
+
+
+UNITS = set("km cm mm kg mg ml kwh mph kmh percent m g l s h".split()) | {u + e for u in "hour minute second day week month year mile meter metre dollar euro cent".split() for e in ("", "s")}
+
+
+def op4_words(text):
+    """(plain, template, value) of each word, read off sign by sign."""
+    import unicodedata
+
+    words, own = [], ""
+    text = text or ""
+    for k, c in enumerate(text):
+        before, after = text[k - 1 : k], text[k + 1 : k + 2]
+        digit = lambda x: x != "" and x in "0123456789"
+        if c in ".," and digit(before) and digit(after):
+            own += "·"
+        elif ord(c) < 128 and not c.isalnum():
+            words, own = [*words, own], ""
+        elif own and digit(own[-1]) and unicodedata.category(c)[0] == "L":
+            words, own = [*words, own], c
+        else:
+            own += c
+    words = [w for w in [*words, own] if w]
+    out = []
+    for k, w in enumerate(words):
+        low, kinds = w.lower(), [unicodedata.category(c) for c in w]
+        if w[0] in "0123456789":
+            mark = "<number>"
+        elif kinds[0] == "Lu" and len(w) > 1 and set(kinds[1:]) == {"Ll"}:
+            mark = "<name>"
+        elif low in UNITS and k and words[k - 1][0] in "0123456789":
+            mark = "<unit>"
+        else:
+            mark = low
+        out.append((low, mark, low[:-1] if len(low) > 2 and low.endswith("s") and low[-3:-1].isalpha() else low))
+    return out
+
+
+def op4_slots(rows, items, size=8, least=13, literal=2):
+    """(doc, item): (covered, slots, changed) of the best alignment, from comparing each item with each place of each text."""
+    out = {}
+    for doc, text in rows:
+        words = op4_words(text)
+        for item, wording in items:
+            own = op4_words(wording)
+            n, found, refused = len(own), [], False
+            if not n:
+                continue
+            for kind, width in ((0, min(size, n)), (1, min(least, n))):
+                good = [i for i in range(n - width + 1) if kind or sum(not m.startswith("<") for _, m, _ in own[i : i + width]) >= literal]
+                for shift in range(-n, len(words)):
+                    starts = [i for i in good if 0 <= i + shift <= len(words) - width and all(own[i + k][1 - kind] == words[i + shift + k][1 - kind] for k in range(width))]
+                    covered = {i + k for i in starts for k in range(width)}
+                    if not starts or len(covered) < min(least, n):
+                        continue
+                    pairs = [(own[i][2], words[i + shift][2]) for i in sorted(covered) if own[i][1].startswith("<")] if not kind else []
+                    if len(set(pairs)) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                        found.append((-len(covered), kind, shift, len(covered) == n, len(pairs), sum(a != b for a, b in pairs)))
+                    else:
+                        refused = True
+            found = [f for f in found if f[1] == 0 or f[3] or not refused]
+            if found:
+                best = min(found)
+                out[doc, item] = (-best[0], best[4], best[5])
+    return out

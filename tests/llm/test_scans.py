@@ -96,6 +96,40 @@ def test_ordinary_exchanges(docs, spark):
     assert set(found(docs, spark, rows, [(i, x[0]) for i, x in enumerate(LOOSE)])) == {(10 * i, i) for i in range(len(LOOSE))}
 
 
+ODD_ITEMS = [(k, t) for k, t in enumerate([
+    "Tom runs 10 km in 2 hours", "What is 9.5 plus 1,200 of the 3 apples that Tom and Anna and Tom again have now?", "Alice sells sea shells by the sea shore and Bob buys them for 3 dollars", "5km or 7.5 miles",
+    "One two three four five six seven eight nine ten eleven twelve thirteen fourteen", LONG, "Ñandú corre 5 km", "12, 13, 14 and 15",
+])]
+ODD_TEXTS = [t for _, t in ODD_ITEMS] + [
+    "Tom runs 10 km in 2 hours", "well Anna runs 12 miles in 3 days then", "anna runs 12 km in 3 hours", "Tom runs 10 km in 10 hours", "so tom runs 10 km in 2 hours.", "What is 8 plus 950.25 of the 4 apples that Ann and Eve and Ann again have now?",
+    "What is 8 plus 950.25 of the 4 apples that Ann and Eve and Eve again have now?", "alice sells sea shells by the sea shore and bob buys them for 3 dollars", "Carol sells sea shells by the sea shore and Dave buys them for 30 dollars", "6km or 8 miles", "6 km or 8 km", "6km or 8 Miles?",
+    "x ONE two THREE four five six seven eight nine ten eleven twelve thirteen x", "x One two three four five six seven x nine ten eleven twelve thirteen fourteen", "ñandú corre 5 km", "Zorro corre 9km", "1,2 and.3 x2.5y 5é 1.2.3,4. A.B 12, 13, 14 and 15", "12 13 14 and 16", None, "", " . ", "7",
+]
+
+
+def test_templates_against_plain(docs, spark):
+    rows = list(enumerate(ODD_TEXTS))
+    got = {k: (r["covered_words"], r["n_slots"], r["changed_slots"]) for k, r in found(docs, spark, rows, ODD_ITEMS).items()}
+    assert got == brute.op4_slots(rows, ODD_ITEMS)
+    assert {(8, 0), (9, 0), (12, 0), (13, 1), (15, 2), (16, 2)} <= set(got) and not {(11, 0), (14, 1), (17, 3)} & set(got)  # the last has one plain word only
+
+
+def test_templates_against_sql(docs, spark, duck):
+    import pandas as pd
+
+    rows = [*enumerate(ODD_TEXTS), (3, ODD_TEXTS[3]), (4, "Tom runs 10 km in 2 hours")]
+    own = duck.cursor()
+    texts, items = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame([*ODD_ITEMS, (50, LONG), (51, None), (52, "")], columns=["item_id", "text"])
+    own.execute("create temp table documents as select * from texts")
+    own.execute("create temp table benchmark as select * from items")
+    made = decontamination.matches(docs(rows), spark.createDataFrame([*ODD_ITEMS, (50, LONG), (51, None), (52, "")], BENCH))
+    assert sorted(map(tuple, made.collect())) == sorted(own.sql(decontamination.ORACLE).fetchall())
+
+
+def test_decontamination_native(docs, spark):
+    assert "Python" not in decontamination.matches(docs([(1, LONG)]), spark.createDataFrame([(0, LONG)], BENCH))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontamination_against_plain(docs, spark, data):
     own = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
