@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, partitions, shared_dir
 
-__all__ = ["cut", "partitions", "shared_dir", "table"]
+__all__ = ["cut", "join_sums", "partitions", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, on: list[str], hint: str | None = None) -> DataFrame:
+    """``rows`` joined with ``sums``, an aggregate that has a row for each value of ``on``, so that the rows of a frequent value may be several tasks'.
+
+    Adaptive execution parts a frequent value only where both sides come straight from an exchange.
+    An aggregate by the same columns needs none, so a further column, which follows from them, makes it have one.
+    """
+    by = (F.xxhash64(*on) == 0).alias("_side")
+    right = sums.select("*", by)
+    return rows.select("*", by).join(right.hint(hint) if hint else right, [*on, "_side"]).drop("_side")

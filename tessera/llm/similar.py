@@ -1,10 +1,13 @@
-"""Near copies by the similarity of their shingle sets, all pairs from a threshold on.
-
-Two sets of Jaccard similarity ``s`` or more share one of the first ``n - ceil(s n) + 1`` shingles
-of each, in any order that is the same for all. So documents meet at these shingles, ordered so that
-those frequent in a sample come last, and each pair that meets is checked exactly. Lengths and
-places rule out most pairs before. In a large cell neighbours are checked first, then only
-pairs that these leave in different components.
+"""Near copies by SimHash, completed to all pairs of a shingle similarity.
+
+Fingerprints meet at anchors as in :mod:`simhash`, and what links there is checked by its shingle
+sets; that joins most of a large group of near copies by as many links as it has texts. Pairs that
+differ in more bits are found by prefixes: two sets of Jaccard similarity ``s`` or more share one of
+the first ``n - ceil(s n) + 1`` shingles of each, in any order that is the same for all. So texts
+meet at these shingles, ordered so that those frequent in a sample come last. Lengths and places
+rule out most pairs, pairs that are joined already are left out, and the others are checked exactly.
+Where many texts meet at one shingle, each is compared with two hubs of that cell first; then only
+cells that still hold different components give pairs, in blocks, so that no cell is one task's.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import cut, partitions
-from .simhash import SEED, row_key, words_of
+from .shared import cut, join_sums, partitions
+from .simhash import SEED, THRESHOLD, at_anchors, fingerprint, links, row_key, words_of
 
 SHINGLE, LEAST = 5, 0.8
 #: One of so many texts is in the sample; shingles of two or more of its texts come last, if they are among the most frequent ones.
 SAMPLE, FREQUENT = 8, 200_000
-#: A cell of more texts than this is searched in two steps.
-LARGE_CELL = 64
+#: A cell of more texts than this is searched in two steps; shingles of so many texts by the sample make no other cells. A block of its second step has about so many texts.
+LARGE_CELL, BLOCK = 64, 2048
 #: The texts that pairs need are broadcast, by a number each, if they are at most so many.
 BROADCAST_ROWS = 200_000
 CELLS = "kind int, a long, b long, n int, i int"
+PAIRS = 1 << 18
 
 
 def text_key(words: list[bytes]) -> int:
@@ -82,32 +86,34 @@ def _texts(docs: DataFrame, make, schema: str, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def frequent(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
-    """Shingles of two or more texts of the sample, the rarer ones first."""
+def frequent(docs: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two or more texts of the sample and of how many, the rarer ones first."""
 
     def make(key: int, words: list[bytes]):
         return (shingles(words, shingle),) if key % SAMPLE == 0 else None
 
     counts = _texts(docs, make, "h long", text).groupBy("h").count().where("count > 1")
     top = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
-    return top.column("h").to_numpy()[::-1].astype(np.int64)
+    return top.column("h").to_numpy()[::-1].astype(np.int64), top.column("count").to_numpy()[::-1]
 
 
-def prefixes(docs: DataFrame, last: np.ndarray, shingle: int, least: float, text: str) -> DataFrame:
-    """(h, v, n, i): the shingles that a text of ``n`` shingles must be found by, those of ``last`` behind all others."""
+def prefixes(docs: DataFrame, last: np.ndarray, count: np.ndarray, shingle: int, least: float, text: str) -> DataFrame:
+    """(h, v, n, i, hot): the shingles that a text of ``n`` shingles must be found by, those of ``last`` behind all others; ``hot`` where the sample has it in many texts."""
     at = np.argsort(last)
-    known = docs.sparkSession.sparkContext.broadcast((last[at], at + 1))
+    known = docs.sparkSession.sparkContext.broadcast((last[at], at + 1, count[at] * SAMPLE > LARGE_CELL))
 
     def make(key: int, words: list[bytes]):
-        values, ranks = known.value
+        values, ranks, many = known.value
         h = shingles(words, shingle)
+        hot = np.zeros(len(h), bool)
         if len(values):
             k = np.minimum(np.searchsorted(values, h), len(values) - 1)
-            h = h[np.lexsort((h, np.where(values[k] == h, ranks[k], 0)))]
+            by = np.lexsort((h, np.where(values[k] == h, ranks[k], 0)))
+            h, hot = h[by], ((values[k] == h) & many[k])[by]
         size = len(h) - int(_least_of(len(h), least)) + 1
-        return h[:size], np.full(size, key), np.full(size, len(h), np.int32), np.arange(size, dtype=np.int32)
+        return h[:size], np.full(size, key), np.full(size, len(h), np.int32), np.arange(size, dtype=np.int32), hot[:size]
 
-    return _texts(docs, make, "h long, v long, n int, i int", text)
+    return _texts(docs, make, "h long, v long, n int, i int, hot boolean", text)
 
 
 def _possible(n, i, m, j, least: float) -> np.ndarray:
@@ -116,89 +122,122 @@ def _possible(n, i, m, j, least: float) -> np.ndarray:
     return (low >= _least_of(high, least)) & (1 + np.minimum(n - i - 1, m - j - 1) >= _least_of(n + m, least / (1 + least)))
 
 
-def cell_pairs(v: np.ndarray, n: np.ndarray, i: np.ndarray, least: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's texts that may be similar; with ``part`` only those of different parts."""
+def cell_pairs(v: np.ndarray, n: np.ndarray, i: np.ndarray, least: float, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell's texts that may be similar, some at a time; with ``part`` only those of different parts."""
     by = np.lexsort((v, n))
     v, n, i = v[by], n[by].astype(np.int64), i[by].astype(np.int64)
     part = part[by] if part is not None else None
-    found_a, found_b = [v[:0]], [v[:0]]
     top = np.searchsorted(_least_of(n, least), n, "right")  # the longer texts that are not too long
-    for at in range(0, len(v), 256):
-        to = int(top[min(at + 256, len(v)) - 1])
-        rows, columns = np.s_[at : at + 256, None], np.s_[None, at:to]
-        good = _possible(n[rows[0]][:, None], i[rows[0]][:, None], n[at:to][None], i[at:to][None], least) & (v[rows[0]][:, None] != v[at:to][None])
-        good &= np.arange(at, min(at + 256, len(v)))[:, None] < np.arange(at, to)[None]
+    rows_ = max(1, PAIRS // max(1, len(v)))
+    for at in range(0, len(v), rows_):
+        to = int(top[min(at + rows_, len(v)) - 1])
+        own = slice(at, min(at + rows_, len(v)))
+        good = _possible(n[own, None], i[own, None], n[None, at:to], i[None, at:to], least) & (v[own, None] != v[None, at:to])
+        good &= np.arange(own.start, own.stop)[:, None] < np.arange(at, to)[None]
         if part is not None:
-            good &= part[rows[0]][:, None] != part[at:to][None]
+            good &= part[own, None] != part[None, at:to]
         x, y = np.nonzero(good)
-        found_a.append(v[x + at])
-        found_b.append(v[y + at])
-    return np.concatenate(found_a), np.concatenate(found_b)
+        yield v[x + at], v[y + at]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut between cells, whose key is the first ``keys`` columns."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+        same = np.ones(len(held[0]), bool)
+        for k in held[:keys]:
+            same &= k == k[-1]
+        done = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if done:
+            yield [x[:done] for x in held]
+            held = [x[done:] for x in held]
+    if held is not None:
+        yield held
+
+
+def _starts(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
 
 
 def met(cells: DataFrame, least: float) -> DataFrame:
-    """CELLS of (h, v, n, i): kind 0 is a pair (a, b) to check; kind 1 a row (h, v, n, i) of a large cell, of which only neighbours are pairs.
+    """CELLS of (h, v, n, i): kind 0 is a pair (a, b) to check; kind 1 a row (h, v, n, i) of a large cell."""
+    names = [c.split()[0] for c in CELLS.split(", ")]
 
-    With a column ``part``, a pair for each two of different parts.
-    """
-    parts = "part" in cells.columns
-
-    def cell(h, v, n, i, part) -> Iterator[tuple]:
-        none = np.zeros(0, np.int32)
-        if len(v) <= LARGE_CELL or part is not None:
-            a, b = cell_pairs(v, n, i, least, part)
-            yield np.zeros(len(a), np.int32), a, b, np.resize(none, len(a)), np.resize(none, len(a))
-            return
-        by = np.lexsort((v, n))
-        a, b, k = v[by[:-1]], v[by[1:]], n[by].astype(np.int64)
-        near = k[:-1] >= _least_of(k[1:], least)
-        zero = np.zeros(int(near.sum()), np.int32)
-        yield zero, a[near], b[near], zero, zero
-        yield np.ones(len(v), np.int32), np.full(len(v), h), v, n, i
-
-    def scan(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        h, v = rows[0], rows[1]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])))  # a text that several tasks saw
-        rows = [x[new] for x in rows]
-        h = rows[0]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        sizes = np.diff(np.append(starts, len(h)))
-        found = []
-        two = starts[sizes == 2]
-        v, n, i = rows[1:4]
-        good = _possible(n[two].astype(np.int64), i[two], n[two + 1].astype(np.int64), i[two + 1], least)
-        if parts:
-            good &= rows[4][two] != rows[4][two + 1]
-        two = two[good]
-        zero = np.zeros(len(two), np.int32)
-        found.append((zero, v[two], v[two + 1], zero, zero))
-        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            found += cell(h[at], *(x[at : at + size] for x in rows[1:4]), rows[4][at : at + size] if parts else None)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["kind", "a", "b", "n", "i"])
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+
+    def pair_rows(a: np.ndarray, b: np.ndarray) -> tuple:
+        zero = np.zeros(len(a), np.int32)
+        return zero, a, b, zero, zero
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
-            h = held[0]
-            done = int(np.searchsorted(h, h[-1]))
-            if done:
-                yield scan([x[:done] for x in held])
-                held = [x[done:] for x in held]
-        if held is not None:
-            yield scan(held)
-
-    columns = ["h", "v", "n", "i", *(["part"] if parts else [])]
-    dealt = cells.select(*columns).repartition(partitions(cells.sparkSession), "h").sortWithinPartitions("h", "v")
+        for rows_ in _whole_cells(batches, 1):
+            new = np.concatenate(([True], (rows_[0][1:] != rows_[0][:-1]) | (rows_[1][1:] != rows_[1][:-1])))  # a text that several tasks saw
+            h, v, n, i = (x[new] for x in rows_)
+            starts, sizes = _starts([h])
+            two = starts[sizes == 2]
+            two = two[_possible(n[two].astype(np.int64), i[two], n[two + 1].astype(np.int64), i[two + 1], least)]
+            found, size = [pair_rows(v[two], v[two + 1])], 0
+            for at, many in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                own = slice(at, at + many)
+                if many > LARGE_CELL:
+                    found.append((np.ones(many, np.int32), h[own], v[own], n[own], i[own]))
+                else:
+                    found += [pair_rows(a, b) for a, b in cell_pairs(v[own], n[own], i[own], least)]
+                size += len(found[-1][0])
+                if size > PAIRS:
+                    yield batch_of(found)
+                    found, size = [], 0
+            if found:
+                yield batch_of(found)
+
+    dealt = cells.select("h", "v", "n", "i").repartition(partitions(cells.sparkSession), "h").sortWithinPartitions("h", "v")
     return dealt.mapInArrow(run, CELLS)
 
 
+def hub_pairs(large: DataFrame, least: float) -> DataFrame:
+    """(a, b): each text (h, v, n, i, part) of large cells with two hubs of the cell, where they may be similar and are not joined. The hubs are those of the least hashes, so cells of like texts have like hubs."""
+    hubs = large.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("o"), "v", "n", "i", "part")).alias(f"hub{k}") for k in range(2)])
+    each = join_sums(large, hubs, ["h"]).select("v", "n", "i", "part", F.explode(F.array("hub0", "hub1")).alias("x")).where("part <> x.part")
+    low, high = F.least("n", "x.n"), F.greatest("n", "x.n")
+    fair = low >= F.ceil(high * F.lit(least) - 1e-9)
+    reach = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("x.n") - F.col("x.i") - 1) >= F.ceil((F.col("n") + F.col("x.n")) * F.lit(least / (1 + least)) - 1e-9)
+    return each.where(fair & reach).select(F.col("v").alias("a"), F.col("x.v").alias("b"))
+
+
+def part_pairs(large: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of large cells (h, v, n, i, part) that may be similar and are in different parts. A cell is dealt in blocks, each pair of which is a group of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_ in _whole_cells(batches, 3):
+            starts, sizes = _starts(rows_[:3])
+            for at, many in zip(starts.tolist(), sizes.tolist()):
+                own = slice(at, at + many)
+                _, low, high, v, n, i, part, block = (x[own] for x in rows_)
+                for a, b in cell_pairs(np.arange(many), n, i, least, part):
+                    apart = (block[a] != block[b]) | (low[0] == high[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(v[a[apart]]), pa.array(v[b[apart]])], ["a", "b"])
+
+    mixed = large.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("m")).where("_low <> _high").select("h", "m")
+    own = join_sums(large, mixed, ["h"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = own.repartition(partitions(large.sparkSession), "h", "low", "high").sortWithinPartitions("h", "low", "high")
+    return dealt.select("h", "low", "high", "v", "n", "i", "part", "block").mapInArrow(run, "a long, b long")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
     """The distinct (u, v) of ``pairs`` (a, b) whose shingle sets have a similarity of ``least`` or more."""
-    own = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    own = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = own.select(F.col("a").alias("v")).union(own.select(F.col("b").alias("v"))).distinct()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +259,22 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text:
     return cut(both.where(shared >= F.lit(least) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _roots(joined: DataFrame) -> DataFrame:
+    """(v, root) of the texts that links join to a lesser one."""
+    return stars(joined).select(F.col("u").alias("v"), F.col("v").alias("root"))
+
+
+def _with_parts(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "v", "left").select(*rows.columns, F.coalesce("root", "v").alias("part"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (a, b) that links have not joined."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("v").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id, row, root) for each row: the smallest doc_id that pairs of a similarity of ``least`` or more reach.
 
@@ -230,19 +285,31 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(words_of(t.as_py())) for t in batch.column(1)], pa.int64()), batch.column(2)], ["doc_id", "v", "row"])
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            fps = np.array([fingerprint(w, shingle) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(w) for w in words], pa.int64()), pa.array(fps), batch.column(2)], ["doc_id", "v", "fp", "row"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
-    rows = cut(own.mapInArrow(run, "doc_id long, v long, row long"))
-    found = cut(met(prefixes(docs, frequent(docs, shingle, text), shingle, least, text), least))
-    links = similar(found.where("kind = 0"), docs, shingle, least, text)
-    star = stars(links)
-    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i")
-    if not large.isEmpty():
-        parts = star.select(F.col("u").alias("v"), F.col("v").alias("_root"))
-        again = met(large.join(parts, "v", "left").select("h", "v", "n", "i", F.coalesce("_root", "v").alias("part")), least)
-        star = stars(links.unionByName(similar(again, docs, shingle, least, text)))
+    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long"))
+
+    # what anchors join: texts of one fingerprint with the first of them, and these with those of near fingerprints
+    first = rows.groupBy("fp").agg(F.min("v").alias("first"))
+    same = join_sums(rows.select("v", "fp").distinct(), first, ["fp"]).select(F.col("v").alias("a"), F.col("first").alias("b"))
+    near = links(at_anchors(first, THRESHOLD), THRESHOLD)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    joined = similar(same.union(near), docs, shingle, least, text)
+
+    # what prefixes join besides
+    cells = cut(prefixes(docs, *frequent(docs, shingle, text), shingle, least, text))
+    found = cut(met(cells.where("not hot"), least))
+    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i").union(cells.where("hot").select("h", "v", "n", "i").distinct())
+    roots = _roots(joined)
+    hubs = hub_pairs(_with_parts(large, roots), least)
+    joined = joined.union(similar(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), docs, shingle, least, text))
+    rest = part_pairs(_with_parts(large, _roots(joined)), least)
+    joined = joined.union(similar(rest, docs, shingle, least, text))
+    star = stars(joined)
     texts = rows.groupBy("v").agg(F.min("doc_id").alias("_least"))
     rooted = texts.join(star.select(F.col("u").alias("v"), F.col("v").alias("_root")), "v", "left").select("v", "_least", F.coalesce("_root", "v").alias("_root"))
     ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows.join(rooted.join(ids, "_root").select("v", "component_id", F.col("_root").alias("root")), "v").select("doc_id", "component_id", "row", "root")
+    return rows.select("doc_id", "v", "row").join(rooted.join(ids, "_root").select("v", "component_id", F.col("_root").alias("root")), "v").select("doc_id", "component_id", "row", "root")

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, join_sums, partitions
 
 #: A run as one long: its first window, the number of windows, and the minimiser's distance from the first.
 COUNT_BITS = 8
@@ -115,9 +115,7 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """(doc_id, key) of each row whose text a smaller doc_id has too. Digests are summed before they are shuffled, and texts stay where they are."""
     own = _known(docs, text, doc_id).select(*ID, F.unhex(F.sha2("text", 256)).alias("digest"))
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
-    # _side as in repeated()
-    first, own = first.withColumn("_side", F.length("digest") < 0), own.withColumn("_side", F.length("digest") < 0)
-    return cut(own.join(first, ["digest", "_side"]).where("doc_id > first").select(*ID).distinct())
+    return cut(join_sums(own, first, ["digest"]).where("doc_id > first").select(*ID).distinct())
 
 
 def originals(texts: DataFrame, copied: DataFrame) -> DataFrame:
@@ -157,14 +155,9 @@ def places(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]])
 
 
 def repeated(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
-    """(gram, doc_id, key, run, n) of the runs whose hash occurs ``n`` > 1 times.
-
-    A join with the counts, so that the runs of a frequent hash may be several tasks'. Adaptive
-    execution parts them only where both sides come straight from an exchange, so the counts get
-    one of their own, by a second column that is the same for all.
-    """
-    counts = tally(source, scan).groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1").withColumn("_side", F.col("n") < 0)
-    return places(source, scan).withColumn("_side", F.col("run") < 0).join(counts.hint("shuffle_hash"), ["gram", "_side"]).drop("_side")
+    """(gram, doc_id, key, run, n) of the runs whose hash occurs ``n`` > 1 times."""
+    counts = tally(source, scan).groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1")
+    return join_sums(places(source, scan), counts, ["gram"], "shuffle_hash")
 
 
 def of_documents(found: DataFrame) -> DataFrame:

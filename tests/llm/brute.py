@@ -209,3 +209,24 @@ def op4_slots(rows, items, size=8, least=13, literal=2):
                 best = min(found)
                 out[doc, item] = (-best[0], best[4], best[5])
     return out
+
+
+def near(rows, least=0.8):
+    """The smallest id of each component of rows whose five-word shingle sets have that Jaccard similarity, from all pairs."""
+    words = {k: tuple(WORD.findall(lower(t))) for k, t in rows}
+    sets = {k: {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for k, w in words.items()}
+    root = {k: k for k in words}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(words)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if words[a] == words[b] or shared and shared >= least * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {k for k in root if find(k) == k}

@@ -1,33 +1,12 @@
 import random
 
+import brute
 import pytest
 
 import corpus_pipeline
 from tessera.llm import similar, simhash
 
 
-def jaccard(a, b):
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := simhash.words_of(t)) else set() for t in (a, b)]
-    return 1.0 if simhash.words_of(a) == simhash.words_of(b) else len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
-
-
-def kept(rows, least=0.8):
-    """The smallest id of each component, from all pairs."""
-    root = {k: k for k, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (a, s) in enumerate(rows):
-        for b, t in rows[i + 1 :]:
-            if jaccard(s, t) >= least - 1e-9:
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    return {k for k in root if find(k) == k}
-
-
 def changed(rng, words, n):
     out = list(words)
     for i in rng.sample(range(len(out)), n):
@@ -48,14 +27,24 @@ def near_rows(seed):
 @pytest.mark.parametrize("large", [2, 64])
 def test_near_copies_of_five_words(docs, spark, data, monkeypatch, large):
     monkeypatch.setattr(similar, "LARGE_CELL", large)
+    monkeypatch.setattr(similar, "BLOCK", 4 * large)
     rows = near_rows(large)
-    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(rows), data).collect()} == kept(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(rows), data).collect()} == brute.near(rows)
+
+
+def test_prefixes_alone_find_all(docs, spark, data, monkeypatch):
+    """Without what SimHash joins, all pairs are left to the cells and their blocks."""
+    monkeypatch.setattr(similar, "links", lambda cells, threshold: spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(similar, "LARGE_CELL", 2)
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    rows = near_rows(9)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(rows), data).collect()} == brute.near(rows)
 
 
 def test_stage_on_documents(spark, data):
     own = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in own.collect()]
-    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, own, data).collect()} == kept(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, own, data).collect()} == brute.near(rows)
 
 
 def test_near_copies_of_nothing(docs, spark, data):
