@@ -37,22 +37,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
-    """The majority of each bit of XXH64 over the shingles, repeats included; 0 without words."""
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of all words if they are fewer, none without words."""
     import xxhash
 
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(first, last)], repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(first, last)], repeat(SEED)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A fingerprint: the majority of each bit; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -60,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(words_of(t.as_py()), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            fps = np.fromiter((majority(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "row"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))

@@ -13,7 +13,6 @@ cells that still hold different components give pairs, in blocks, so that no cel
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .components import stars
 from .shared import cut, join_sums, partitions
-from .simhash import SEED, THRESHOLD, at_anchors, fingerprint, links, row_key, words_of
+from .simhash import SEED, THRESHOLD, at_anchors, links, majority, row_key, shingle_hashes, words_of
 
 SHINGLE, LEAST = 5, 0.8
 #: One of so many texts is in the sample; shingles of two or more of its texts come last, if they are among the most frequent ones.
 SAMPLE, FREQUENT = 8, 200_000
 #: A cell of more texts than this is searched in two steps; shingles of so many texts by the sample make no other cells. A block of its second step has about so many texts.
-LARGE_CELL, BLOCK = 64, 2048
+LARGE_CELL, BLOCK = 64, 512
+#: Bits of a text's bitmap, by which pairs of large cells are ruled out before their sets are compared.
+BITS = 1024
 #: The texts that pairs need are broadcast, by a number each, if they are at most so many.
 BROADCAST_ROWS = 200_000
 CELLS = "kind int, a long, b long, n int, i int"
@@ -43,17 +44,15 @@ def text_key(words: list[bytes]) -> int:
 
 
 def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of the shingles; one of all words if they are fewer, none without words."""
-    import xxhash
+    """The sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(words, shingle).view(np.int64))
+
 
-    if not words:
-        return np.zeros(0, np.int64)
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    first, last = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(first, last)], repeat(SEED)), np.uint64, n).view(np.int64))
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each of the BITS values that a hash has; sets differ in as many shingles as their bitmaps do in bits, or more."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(hashes & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
 
 
 def _least_of(n: np.ndarray | int, least: float) -> np.ndarray:
@@ -214,25 +213,30 @@ def hub_pairs(large: DataFrame, least: float) -> DataFrame:
     return each.where(fair & reach).select(F.col("v").alias("a"), F.col("x.v").alias("b"))
 
 
-def part_pairs(large: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of large cells (h, v, n, i, part) that may be similar and are in different parts. A cell is dealt in blocks, each pair of which is a group of its own."""
+def part_pairs(large: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of large cells (h, v, n, i, part) that may be similar by lengths, places and bitmaps (v, bits) and are in different parts. A cell is dealt in blocks, each pair of which is a group of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in _whole_cells(batches, 3):
             starts, sizes = _starts(rows_[:3])
             for at, many in zip(starts.tolist(), sizes.tolist()):
                 own = slice(at, at + many)
-                _, low, high, v, n, i, part, block = (x[own] for x in rows_)
+                _, low, high, v, n, i, part, block, bits_ = (x[own] for x in rows_)
+                maps = np.frombuffer(b"".join(bits_), np.uint64).reshape(many, -1)
+                n = n.astype(np.int64)
                 for a, b in cell_pairs(np.arange(many), n, i, least, part):
                     apart = (block[a] != block[b]) | (low[0] == high[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(v[a[apart]]), pa.array(v[b[apart]])], ["a", "b"])
+                    a, b = a[apart], b[apart]
+                    differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+                    fair = (n[a] + n[b] - differ) // 2 >= _least_of(n[a] + n[b], least / (1 + least))
+                    yield pa.RecordBatch.from_arrays([pa.array(v[a[fair]]), pa.array(v[b[fair]])], ["a", "b"])
 
     mixed = large.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("m")).where("_low <> _high").select("h", "m")
     own = join_sums(large, mixed, ["h"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(bits, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = own.repartition(partitions(large.sparkSession), "h", "low", "high").sortWithinPartitions("h", "low", "high")
-    return dealt.select("h", "low", "high", "v", "n", "i", "part", "block").mapInArrow(run, "a long, b long")
+    return dealt.select("h", "low", "high", "v", "n", "i", "part", "block", "bits").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
@@ -286,11 +290,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t.as_py()) for t in batch.column(1)]
-            fps = np.array([fingerprint(w, shingle) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(w) for w in words], pa.int64()), pa.array(fps), batch.column(2)], ["doc_id", "v", "fp", "row"])
+            hashes = [shingle_hashes(w, shingle) for w in words]
+            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(w) for w in words], pa.int64()), pa.array(fps), batch.column(2), pa.array(map(bitmap, hashes), pa.binary())], ["doc_id", "v", "fp", "row", "bits"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
-    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long"))
+    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long, bits binary"))
 
     # what anchors join: texts of one fingerprint with the first of them, and these with those of near fingerprints
     first = rows.groupBy("fp").agg(F.min("v").alias("first"))
@@ -306,7 +311,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
     roots = _roots(joined)
     hubs = hub_pairs(_with_parts(large, roots), least)
     joined = joined.union(similar(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), docs, shingle, least, text))
-    rest = part_pairs(_with_parts(large, _roots(joined)), least)
+    bits = rows.groupBy("v").agg(F.first("bits").alias("bits"))
+    rest = part_pairs(_with_parts(large, _roots(joined)), bits, least)
     joined = joined.union(similar(rest, docs, shingle, least, text))
     star = stars(joined)
     texts = rows.groupBy("v").agg(F.min("doc_id").alias("_least"))
