@@ -51,9 +51,10 @@ class WordIds(dict):
 def id_encoder(path: str):
     """text -> ids as little-endian uint32 bytes, those of the byte-level BPE file at ``path``.
 
-    A text whose spaces stand alone is split at them: pretokens never reach across a space that
-    has no white space beside it, so each word has its ids whatever stands around it. Other
-    texts are encoded whole.
+    The file's added tokens have one id wherever they stand, and texts are cut at them first. What
+    is left and has no two spaces beside each other is split at its spaces: pretokens never reach
+    across a space that has no white space beside it, so each word has its ids whatever stands
+    around it. Other texts are encoded whole.
     """
     import re
 
@@ -62,17 +63,27 @@ def id_encoder(path: str):
 
     symbols = byte_symbols()
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]["vocab"]
-    ranks = {bytes(symbols[c] for c in token): i for token, i in model.items() if all(c in symbols for c in token) and not token.startswith("<|")}
+        file = json.load(f)
+    added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in file.get("added_tokens", [])}
+    ranks = {bytes(symbols[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added and all(c in symbols for c in token)}
     encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     words, crowded = WordIds(encode), re.compile(r"\s \s*| \s|^ | $")
 
-    def ids(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if crowded.search(text):
             return np.array(encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         return np.array(encode(first), "<u4").tobytes() + b"".join([words[w] for w in rest])
 
+    if not added:
+        return plain
+    parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def ids(text: str) -> bytes:
+        if not any(token in text for token in added):
+            return plain(text)
+        return b"".join(added[x] if x in added else plain(x) for x in parts.split(text) if x)
+
     return ids
 
 
@@ -101,22 +112,28 @@ def token_pieces(docs: DataFrame, tokenizer: str, cap: int = CAP, separator: int
 
 
 class Sums:
-    """Which lengths are left, and for each sum how many pairs of lengths left make it."""
+    """Which lengths are left, and for each sum how many ordered pairs and triples of lengths left make it."""
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
         self.cap = len(counts) - 1
         here = (self.left > 0).astype(np.int64)
         self.pairs = np.convolve(here, here)[: self.cap + 1]
+        self.triples = np.convolve(self.pairs, here)[: self.cap + 1]
 
     def take(self, uses: dict[int, int], times: int) -> None:
         for length, n in uses.items():
             self.left[length] -= n * times
             if not self.left[length]:
-                others = np.flatnonzero(self.left[: self.cap + 1 - length])
-                self.pairs[length + others] -= 2
+                here = self.left > 0
+                here[length] = True  # as it was, for (here - 1)**2 and (here - 1)**3 by sums
+                self.triples[length:] -= 3 * self.pairs[: self.cap + 1 - length]
+                self.pairs[length:] -= 2 * here[: self.cap + 1 - length]
                 if 2 * length <= self.cap:
-                    self.pairs[2 * length] -= 1
+                    self.triples[2 * length :] += 3 * here[: self.cap + 1 - 2 * length]
+                    self.pairs[2 * length] += 1
+                if 3 * length <= self.cap:
+                    self.triples[3 * length] -= 1
 
     def _fits(self, combo: tuple[int, ...], used: dict[int, int]) -> bool:
         return all(self.left[x] >= used.get(x, 0) + combo.count(x) for x in combo)
@@ -127,6 +144,8 @@ class Sums:
             return (gap,)
         if found := self._pair(gap, used):
             return found
+        if self.triples[gap] <= 0:
+            return None
         for c in np.flatnonzero(self.left[: gap - 1])[::-1]:
             if 3 * c < gap:
                 break
@@ -209,7 +228,8 @@ def pack(docs: DataFrame, tokenizer: str, cap: int = CAP, separator: int = SEPAR
     """Every piece of every document with its place: PIECES, sequence_id and offset.
 
     No piece is dropped; sequences are gapless from offset 0. An empty table gives no rows. A
-    null doc_id or text is packed like any other (a null text as an empty one).
+    null doc_id or text is packed like any other (a null text as an empty one). Other columns of
+    ``docs`` are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, tokenizer, cap, separator, text, doc_id))

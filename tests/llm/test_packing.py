@@ -18,7 +18,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -28,6 +27,28 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(IDS(text), "<u4").tolist() == WANT(text)
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "a", " ", "  b", "\n", "é"]), max_size=8).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_added_tokens_have_their_id(text):
+    assert np.frombuffer(IDS(text), "<u4").tolist() == WANT(text)
+
+
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=12), st.lists(st.integers(0, 11), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_sums_of_lengths_left(counts, taken):
+    have = np.zeros(41, np.int64)
+    for length, n in counts.items():
+        have[length] = n
+    sums, lengths = packing.Sums(have), sorted(counts)
+    for k in taken:
+        length = lengths[k % len(lengths)]
+        if sums.left[length]:
+            sums.take({length: 1}, 1)
+    here = (sums.left > 0).astype(np.int64)
+    assert sums.pairs.tolist() == np.convolve(here, here)[:41].tolist()
+    assert sums.triples.tolist() == np.convolve(np.convolve(here, here)[:41], here)[:41].tolist()
+
+
 IDS, WANT = packing.id_encoder(PATH), reference()
 
 
@@ -63,6 +84,13 @@ def test_empty_and_null_id(docs):
     assert packing.pack(docs([(None, None)]), PATH).first()["length"] == 1
 
 
+def test_clashing_columns(docs, odd):
+    from pyspark.sql import functions as F
+
+    clash = docs(odd).withColumns({c: F.lit(7) for c in ("piece", "start", "length", "_salt", "_n", "_at", "_before", "_within", "sequence_id")})
+    assert packing.pack(clash, PATH).count() == packing.pack(docs(odd), PATH).count()
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), min_size=1, max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_plan_places_all(counts):
