@@ -60,7 +60,7 @@ def hot_keys(rows: DataFrame, key: str, shards: int) -> DataFrame:
     """The keys of more than HOT_PARTS even parts of the rows: fewer than there are shards."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") * shards > F.col("_all") * HOT_PARTS).select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot"))
+    return counts.join(F.broadcast(total), F.col("_n") * shards > F.col("_all") * HOT_PARTS).select(key)
 
 
 def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, spread: str | None = None) -> DataFrame:
@@ -70,15 +70,16 @@ def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, spre
     There are fewer hot keys than shards, so they are broadcast. Null keys count as one empty
     key. An empty table gives no rows.
     """
-    own = rows.drop("slot", "shard")
-    by = F.col(key).cast("string")
+    plain = rows.drop("slot", "shard")
+    # the row as one struct, so that its columns' names clash with none of ours
+    own = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"), F.col(f"`{key}`").alias("by"), (F.col(f"`{spread}`") if spread else F.lit(None)).cast("string").alias("spread"))
+    by = F.col("by").cast("string")
     if spread:
-        hot = F.broadcast(hot_keys(own, key, len(shards)))
-        own = own.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
-        flagged = F.col("_is_hot").isNotNull()  # a hot key may be null
-        by = F.when(flagged, F.concat_ws("/", by, F.col(spread).cast("string"))).otherwise(by)
-    placed = own.withColumn("slot", slot_of(by, slots)).drop("_hot", "_is_hot")
-    return placed.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), "slot").select(*own.drop("_hot", "_is_hot").columns, "slot", "shard")
+        hot = hot_keys(own.select("by"), "by", len(shards)).select(F.col("by").alias("hot"), F.lit(True).alias("is_hot"))
+        own = own.join(F.broadcast(hot), F.col("by").eqNullSafe(F.col("hot")), "left")
+        by = F.when(F.col("is_hot").isNotNull(), F.concat_ws("/", by, "spread")).otherwise(by)  # a hot key may be null
+    placed = own.select("row", slot_of(by, slots).alias("slot"))
+    return placed.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), "slot").select("row.*", "slot", "shard")
 
 
 def write(sharded: DataFrame, path: str) -> None:
