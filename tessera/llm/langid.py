@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .shared import table
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
-#: The fit reads so many documents a language and so many languages at most.
-SAMPLE, LANGUAGES = 800, 100
+#: The fit reads so many documents a language.
+SAMPLE = 800
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -127,9 +127,9 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training_windows(docs: DataFrame, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Two windows of each of about ``sample`` documents a language, chosen by a hash of the doc_id; the driver gets ``3 * sample * 512`` bytes a language at most."""
+    """Two windows of each of about ``sample`` documents a language, chosen by a hash of the doc_id; the driver gets ``3 * sample * 512`` bytes a language at most. Every language of the labels is learned."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    sizes = [(r[0], r[1]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    sizes = [(r[0], r[1]) for r in known.groupBy("lang").count().orderBy("lang").collect()]
     if not sizes:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = F.create_map(*[x for name, n in sizes for x in (F.lit(name), F.lit(min(1.0, sample / n)))])
@@ -196,7 +196,11 @@ def predicted(docs: DataFrame, net: ByteCNN, names: tuple[str, str] = ("lang_pre
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row, learned from the rows that aren't held out. Empty table: no rows."""
+    """(doc_id, held_out, lang_pred, score) of each row, learned from the rows that aren't held out.
+
+    A row without a doc_id is not held out and not learned from; repeated rows have one answer each,
+    and are learned from as often as they stand there. Empty table: no rows. Other columns may have any name.
+    """
     net = fit(docs, sample, seed)
     return predicted(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
