@@ -110,15 +110,16 @@ def op7_base(text, phrases):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))
 
 
-def op7_method(text, templates, common, threshold=0.8, block=64):
+def op7_method(text, templates, common, block_of, threshold=0.8):
     """Labels and best containment, from every block and template."""
     import math
 
     words = op7_words(text)
     hits, best = set(), 0.0
-    for at in range(0, max(1, len(words)), block // 2):
-        own = set(words[at : at + block])
-        for wording, label in templates:
+    for wording, label in templates:
+        block = block_of(wording)
+        for at in range(0, max(1, len(words)), block // 2):
+            own = set(words[at : at + block])
             need = set(wording.split()) - common
             if len(own & need) >= max(1, math.ceil(threshold * len(need) - 1e-9)):
                 hits.add(label)

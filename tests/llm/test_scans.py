@@ -21,11 +21,26 @@ def test_licenses_against_plain(docs):
     got = {r["doc_id"]: r for r in licenses.scan(docs(LICENSE_ROWS)).collect()}
     for k, text in LICENSE_ROWS:
         n, places, first, last, base = brute.op7_base(text, licenses.PHRASES)
-        own, best = brute.op7_method(text, licenses.TEMPLATES, licenses.COMMON)
+        own, best = brute.op7_method(text, licenses.TEMPLATES, licenses.COMMON, licenses.block_of)
         labels = ",".join(sorted(own | set(filter(None, base.split(",")))))
         assert tuple(got[k])[1:] == (n, places, first, last, base, labels, 1.0 if places else best), k
 
 
+def test_templates_of_any_size_are_found_anywhere(docs):
+    sizes = (3, 21, 64, 400)
+    templates = [(" ".join(f"t{n}x{k}" for k in range(n)), f"own{n}") for n in sizes]
+    rows = [(1000 * n + at, "word " * at + text + " word" * 90) for n, (text, _) in zip(sizes, templates) for at in (0, 1, 16, 31, 33, 63, 64, 100, 129, 511, 700)]
+    rows += [(1000 * n + 999, "word " * 20 + " ".join(text.split()[: n * 4 // 5 - 1])) for n, (text, _) in zip(sizes, templates)]
+    made = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(rows), templates).collect()}
+    assert made == {k: ("", 0.0) if k % 1000 == 999 else (f"own{k // 1000}", 1.0) for k, _ in rows}
+
+
+def test_whole_license_texts(docs):
+    rows = [(k, "some words before it. " * 30 + wording + " and after") for k, (wording, _) in enumerate(licenses.TEMPLATES)]
+    made = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
+    assert all(label in made[k]["labels"].split(",") and made[k]["score"] == 1.0 for k, (_, label) in enumerate(licenses.TEMPLATES))
+
+
 def test_licenses_edge(docs):
     assert licenses.scan(docs([])).count() == 0
     made = licenses.scan(docs([(1, "mit license"), (1, "mit license"), (None, "mit license")]).withColumns({c: F.lit(1) for c in ("row", "hits", "w", "n_words", "labels")}))
@@ -187,6 +202,16 @@ def test_sharding_edge(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == spread.select("shard").distinct().count()
 
 
+def test_sharding_with_clashing_columns(spark):
+    rows = [(i, "hot", i) for i in range(300)] + [(i, None, i) for i in range(300, 400)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, extra long")
+    clash = plain.withColumns({c: F.lit(7) for c in ("_hot", "_is_hot", "hot", "is_hot", "by", "row", "spread", "_n", "_all", "_k", "slot")})
+    made = sharding.shard(clash, "source", sharding.shard_names(8), 101, spread="doc_id")
+    assert sorted(made.columns) == sorted({*clash.columns, "shard"}) and made.where("_hot = 7 and by = 7 and row = 7").count() == len(rows)
+    want = sharding.shard(plain, "source", sharding.shard_names(8), 101, spread="doc_id")
+    assert sorted(made.select("doc_id", "slot", "shard").collect()) == sorted(want.select("doc_id", "slot", "shard").collect())
+
+
 def test_hot_null_source_is_spread(spark, duck):
     rows = [(i, None if i % 3 == 0 else f"k{i}") for i in range(900)]
     sharded = sharding.shard(spark.createDataFrame(rows, "doc_id long, source string"), "source", sharding.shard_names(), spread="doc_id")
