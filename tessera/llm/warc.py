@@ -1,8 +1,9 @@
 """WARC archives: a writer with one gzip member a record, and a reader that salvages damaged ones.
 
 Records whose payloads are equal are kept once: the one of the largest id is a response, the
-others revisit it. Writing tasks fill a folder of their own name and rename it into place, so a
-repeated or lost task leaves one whole folder. Files are closed at a size, so a reader never
+others revisit it. Each attempt at a writing task fills a folder of its own and names it in its row;
+the rows of the attempts that counted are the manifest by which archives are read, so what a lost
+attempt left is passed over. Files are closed at a size, so a reader never
 holds more than that and one record. The reader checks every member and record; after a failure
 it searches for the next valid member or version line and notes the bytes in between as a gap.
 """
@@ -101,8 +102,21 @@ def parse_record(raw: bytes, at: int, offset: int) -> tuple[Record, int] | str:
     return Record(offset, fields.get("warc-type", ""), fields, block), stop + 4
 
 
-def _next_record(data: bytes, at: int) -> tuple[list[Record], int] | str:
-    """The records of the member, or the bare record, at ``at``, and where that ends; or what is wrong."""
+def _scattered(raw: bytes, at: int) -> list[Record]:
+    """The whole records at the version lines of a member's bytes, as far as it could be read."""
+    out, inner = [], 0
+    while found := VERSION_LINE.search(raw, inner):
+        got = parse_record(raw, found.start(), at)
+        if isinstance(got, str):
+            inner = found.start() + 1
+        else:
+            out.append(got[0])
+            inner = got[1]
+    return out
+
+
+def _next_record(data: bytes, at: int) -> tuple[list[Record], int] | tuple[str, list[Record]]:
+    """The records of the member, or the bare record, at ``at``, and where that ends; or what is wrong, and the records that a damaged member still has."""
     if data.startswith(MEMBER, at):
         z, parts, read = zlib.decompressobj(31), [], at
         try:
@@ -110,40 +124,42 @@ def _next_record(data: bytes, at: int) -> tuple[list[Record], int] | str:
                 parts.append(z.decompress(data[read : read + PIECE]))
                 read = min(len(data), read + PIECE)
         except zlib.error as e:
-            return f"gzip: {str(e)[:60]}"
-        if not z.eof:
-            return "gzip member cut off"
+            return f"gzip: {str(e)[:60]}", _scattered(b"".join(parts), at)
         raw = b"".join(parts)
+        if not z.eof:
+            return "gzip member cut off", _scattered(raw, at)
         end, inner, out = read - len(z.unused_data), 0, []
         while inner < len(raw):
             got = parse_record(raw, inner, at)
             if isinstance(got, str):
-                return got
+                return got, _scattered(raw, at)
             out.append(got[0])
             inner = got[1]
-        return (out, end) if out else "empty member"
+        return (out, end) if out else ("empty member", [])
     got = parse_record(data, at, at)
-    return got if isinstance(got, str) else ([got[0]], got[1])
+    return (got, []) if isinstance(got, str) else ([got[0]], got[1])
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The records of one archive, compressed by member or not, in order, with a Gap for each span of bytes that yields none.
 
     A span begins where a check failed and ends at the next member or version line from which a
-    whole record can be read, or with the archive.
+    whole record can be read, or with the archive. Of a damaged member that holds several records, the
+    whole ones come before the gap.
     """
     at = 0
     while at < len(data):
         got = _next_record(data, at)
-        if not isinstance(got, str):
+        if not isinstance(got[0], str):
             yield from got[0]
             at = got[1]
             continue
-        start, reason = at, got
+        start, reason = at, got[0]
+        yield from got[1]
         while at < len(data):
             found = [x for x in (data.find(MEMBER, at + 1), *(m.start() for m in [VERSION_LINE.search(data, at + 1)] if m)) if x >= 0]
             at = min(found, default=len(data))
-            if at == len(data) or not isinstance(_next_record(data, at), str):
+            if at == len(data) or not isinstance((got := _next_record(data, at))[0], str) or got[1]:
                 break
         yield Gap(start, at, reason)
 
@@ -156,13 +172,14 @@ def _filesystem(root: str):
 
 
 def write_archives(rows: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes (key, uri, payload binary, digest, kind, refers_to) to ``root``; (folder, files, records, bytes) of each task that had rows."""
+    """Writes (key, uri, payload binary, digest, kind, refers_to) to ``root``; the manifest: (folder, files, records, bytes) of each task that had rows. Keep its rows (a checkpoint), as another run writes other folders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         files, top = _filesystem(root)
-        name, task = f"part-{TaskContext.get().partitionId():06d}", f"{top}/_{uuid.uuid4().hex}"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        task = f"{top}/{name}"
         number = records = size = 0
         out, held = None, 0
         for batch in batches:
@@ -182,12 +199,6 @@ def write_archives(rows: DataFrame, root: str, file_bytes: int = FILE_BYTES) ->
             out.close()
         if not records:
             return
-        try:
-            files.move(task, f"{top}/{name}")
-        except OSError:
-            if files.get_file_info(f"{top}/{name}").type.name != "Directory":
-                raise
-            files.delete_dir(task)  # an earlier attempt at this task has finished
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, number, records, size)], ["folder", "files", "records", "bytes"])
 
     order = ["key", "uri", "payload", "digest", "kind", "refers_to"]
@@ -263,14 +274,22 @@ def archive(pages: DataFrame, root: str | None = None, least: int = 0) -> tuple[
     return root, cut(write_archives(revisits(pages, least), root))
 
 
+def written(records: DataFrame, made: DataFrame) -> DataFrame:
+    """Of RECORDS, those in folders of the manifest, which is broadcast: it has a row for each task that wrote."""
+    folder = F.regexp_extract("path", "/(part-[^/]+)/[^/]+$", 1)
+    return records.withColumn("_folder", folder).join(F.broadcast(made.select(F.col("folder").alias("_folder"))), "_folder", "left_semi").select(*records.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every page, written to archives and read back."""
     root, made = archive(table(spark, sf_dir, "pages"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     if made.isEmpty():
         return spark.range(0).select(*[F.lit(None).cast("string" if c in ("payload_digest", "record_type") else "long").alias(c) for c in columns])
-    found = read_archives(spark, f"{root}/part-*", payloads=False)
-    return found.where("record_type <> 'gap'").select(*columns)
+    found = written(read_archives(spark, f"{root}/part-*", payloads=False), made)
+    # what was just written has no gaps; were there one, pages would be missing
+    whole = F.when(F.col("record_type") == "gap", F.raise_error(F.concat(F.lit("a gap in "), "path"))).otherwise(F.lit(True))
+    return found.where(whole).select(*columns)
 
 
 ORACLE = """

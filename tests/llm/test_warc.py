@@ -101,3 +101,25 @@ def test_query_against_plain(spark, data):
     pages = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html").collect()]
     got = warc.query(spark, data)
     assert sorted(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got.collect()) == brute.op6(pages)
+
+
+def test_members_of_several_records():
+    records = [warc.record("response", "u", k, b"page %d" % k * 40, warc.digest_of(b"page %d" % k * 40), None) for k in range(6)]
+    bad = bytearray(b"".join(records[1:4]))
+    bad[len(records[1]) + len(records[2]) - 60] ^= 1
+    data = warc.member(records[0]) + warc.member(bytes(bad)) + warc.member(records[5])
+    got = list(warc.salvage(data))
+    assert [x.fields["warc-record-id"] if isinstance(x, warc.Record) else "gap" for x in got] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>", "gap", "<urn:page:5>"]
+    cut_off = warc.member(records[0] + records[1] + records[2])
+    got = list(warc.salvage(cut_off[: len(cut_off) - 30]))
+    assert [isinstance(x, warc.Record) for x in got] == [True] * (len(got) - 1) + [False] and 1 <= len(got) <= 3
+
+
+def test_folders_of_lost_attempts_are_passed_over(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(10)], PAGES)
+    root, made = warc.archive(pages, str(tmp_path / "w"))
+    lost = tmp_path / "w" / "part-000000-lost"
+    lost.mkdir()
+    (lost / "00000.warc.gz").write_bytes(warc.member(warc.record("response", "u", 77, b"x", warc.digest_of(b"x"), None)))
+    got = warc.written(warc.read_archives(spark, f"{root}/part-*"), made)
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(10))
