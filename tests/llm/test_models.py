@@ -103,3 +103,80 @@ def test_quality_edge(spark, docs, odd):
     base = quality.judge(docs(odd), labels.limit(0)).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in base)
     assert quality.judge(docs([]), labels).count() == 0
+
+
+# plain versions, value by value
+
+
+def plain_probabilities(net, window):
+    act = []
+    for f in range(len(net.width)):
+        width, best = int(net.width[f]), -np.inf
+        for at in range(len(window) - width + 1):
+            best = max(best, sum(float(net.kernel[f, j] @ net.embed[window[at + j]]) for j in range(width)))
+        act.append(max(0.0, best + float(net.bias[f])))
+    z = np.array(act) @ net.dense.astype(float) + net.shift
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_forward_pass_against_plain():
+    rng = np.random.default_rng(4)
+    net = langid.ByteCNN(["a", "b", "c"], 5)
+    net.bias, net.shift = rng.normal(0, 0.2, net.bias.shape).astype(np.float32), rng.normal(0, 0.2, 3).astype(np.float32)
+    rows = rng.integers(1, 255, (3, langid.WINDOW)).astype(np.uint8)
+    rows[1, 40:] = 0
+    for row, got in zip(rows, net.probabilities(rows)):
+        assert np.allclose(got, plain_probabilities(net, row), atol=1e-4)
+
+
+def test_prediction_against_plain(spark, docs):
+    net = langid.ByteCNN(["a", "b"], 6)
+    texts = ["x", "word " * 100, "é" * 300, "12 ?", "", None, "\U0001f600 a"]
+    got = {r["doc_id"]: r for r in langid.predicted(docs(list(enumerate(texts))).select("doc_id", "text"), net).collect()}
+    for k, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        raw = t.encode()
+        parts = [raw[i : i + langid.WINDOW] for i in range(0, len(raw), langid.WINDOW)]
+        p = sum(plain_probabilities(net, np.frombuffer(x.ljust(langid.WINDOW, b"\0"), np.uint8)) * len(x) for x in parts) / len(raw)
+        assert got[k]["lang_pred"] == net.labels[int(p.argmax())] and abs(got[k]["score"] - p.max()) < 1e-4
+
+
+def test_path_lengths_against_plain():
+    rng = np.random.default_rng(7)
+    good = rng.normal(0, 1, (300, 3))
+    forest = quality.IsolationForest(good, (good.min(axis=0) - 1, good.max(axis=0) + 1), trees=7)
+
+    def path(tree, row):
+        feature, split, left, right, length = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[int(feature[at])] <= split[at] else right[at]
+        return length[at]
+
+    def expected(n):
+        return 0 if n <= 1 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    rows = rng.normal(0, 3, (40, 3))
+    want = [2 ** (-np.mean([path(t, r) for t in forest.trees]) / expected(256)) for r in rows]
+    assert np.allclose(forest.score(rows), want)
+
+
+def test_verdicts_against_plain(spark, data):
+    """kept from the scores and labels, the threshold found by trying each."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    made = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    known = [(np.ceil(made[r["doc_id"]]["anomaly"] * quality.BINS), r["quality"]) for r in labels.where("quality in (0, 1)").collect() if r["doc_id"] in made]
+    good, bad = [b for b, q in known if q == 1], [b for b, q in known if q == 0]
+    share = lambda of, k: sum(b >= k for b in of) / len(of)
+    fair = [k for k in range(quality.BINS + 1) if share(good, k) <= quality.GOOD_LOSS]
+    best = max(round(share(bad, k) - share(good, k), 12) for k in fair)
+    limit = (max(k for k in fair if round(share(bad, k) - share(good, k), 12) == best) - 1) / quality.BINS
+    assert all(r["kept"] == (not r["base_failed"] and r["anomaly"] <= limit) for r in made.values())
+    for r in docs.collect():
+        words, chars, symbols, dup, repeat = brute.op2_statistics(r["text"])
+        m = made[r["doc_id"]]
+        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == (words, chars, symbols, dup, repeat)
+        assert m["base_failed"] == (words < 50 or 100 * repeat > 50 * words)
