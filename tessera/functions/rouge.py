@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,12 @@ def score(hit: Column, predicted: Column, reference: Column) -> Column:
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """The n-grams as text, repeats included."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The n-grams as text, repeats included. Tokens are arguments only, never inside the lambda, where they would be made anew for each n-gram."""
+    out = tokens
+    for k in range(2, n + 1):
+        # the shorter array is filled up with nulls, and a null makes the n-gram null
+        out = F.filter(F.zip_with(out, F.slice(tokens, k, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+    return out
 
 
 def rouge_n(pairs: DataFrame, n: int, key: str = "row_idx", prediction: str = "prediction", reference: str = "reference") -> DataFrame:
@@ -39,33 +41,37 @@ def rouge_n(pairs: DataFrame, n: int, key: str = "row_idx", prediction: str = "p
     return whole.withColumn("score", score(F.col("hit"), F.col("n_pred"), F.col("n_ref")))
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """The length of the longest common subsequence, a bit for each token of ``a``."""
+def _bit_rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each number of tokens of ``b``, from none on, a bit for each token of ``a``: clear where the longest common subsequence grows."""
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     v = full
+    yield v
     for x in b:
         u = v & places.get(x, 0)
         v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence."""
+    for v in _bit_rows(a, b):
+        pass
     return len(a) - v.bit_count()
 
 
 def lcs_places(reference: list[str], prediction: list[str]) -> set[int]:
     """Places in ``reference`` of one longest common subsequence: backwards, a match is taken, else the reference is shortened unless only shortening the prediction keeps the length."""
-    rows = [[0] * (len(prediction) + 1)]
-    for x in reference:
-        row, before = [0], rows[-1]
-        for j, y in enumerate(prediction):
-            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
-        rows.append(row)
+    rows = list(_bit_rows(reference, prediction))
+    length = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()  # noqa: E731  of the first i and j tokens
     i, j, out = len(reference), len(prediction), set()
     while i and j:
         if reference[i - 1] == prediction[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif rows[i][j - 1] > rows[i - 1][j]:
+        elif length(i, j - 1) > length(i - 1, j):
             j -= 1
         else:
             i -= 1

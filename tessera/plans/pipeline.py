@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, selection, validation
-from ..operators.summarizers import Lead, Summarizer, TfIdf
+from ..operators import evaluation, features, selection, tokenizing, validation
+from ..operators.summarizers import Lead, Neural, Summarizer, TfIdf
 from ..sources import archives, dialogues, schemas, sinks
 from ..sources.config import Configuration
 
 log = logging.getLogger(__name__)
+#: The setting that stands for a vocabulary of white-space words in place of a tokenizer's file.
+WORDS = "whitespace"
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,6 @@ def run_stages(stages: list[Stage]) -> dict[str, object]:
 
 def log_to(path: str) -> None:
     """Sends this package's log to a file and to the console, in one format; only when called."""
-    import os
     import sys
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
@@ -68,11 +70,15 @@ def validate(spark: SparkSession, config) -> bool | None:
 
 
 def transform(spark: SparkSession, config) -> str:
-    """Stores raw and feature columns of all splits, and the vocabulary made from the train split."""
+    """Stores raw and feature columns of all splits. ``tokenizer`` is a tokenizer's file, or ``whitespace`` for a vocabulary made from the train split and stored too; anything else is an error."""
     data = dialogues.read_dataset(spark, config.data_path)
-    path = f"{config.root_dir}/vocabulary"
-    features.vocabulary(selection.split(data, "train"), ["dialogue", "summary"]).write.mode("overwrite").parquet(path)
-    made = features.features(data, spark.read.parquet(path), max_source=config.max_source, max_target=config.max_target)
+    caps = {"max_source": config.max_source, "max_target": config.max_target}
+    if config.tokenizer == WORDS:
+        path = f"{config.root_dir}/vocabulary"
+        features.vocabulary(selection.split(data, "train"), ["dialogue", "summary"]).write.mode("overwrite").parquet(path)
+        made = features.features(data, spark.read.parquet(path), **caps)
+    else:
+        made = tokenizing.features(data, config.tokenizer, **caps)
     dialogues.write_dataset(made.select(*[f.name for f in schemas.FEATURES]), f"{config.root_dir}/dataset")
     return f"{config.root_dir}/dataset"
 
@@ -81,13 +87,13 @@ def train(spark: SparkSession, config) -> str:
     """Fits the extractive model on the train split alone and stores it. ``model: neural`` names a checkpoint to fine-tune, for which torch is needed."""
     data = dialogues.read_dataset(spark, config.data_path, schemas.FEATURES)
     if config.model != "tfidf":
-        return fine_tune(selection.model_inputs(selection.split(data, "train")), config)
+        return fine_tune(*(selection.model_inputs(selection.split(data, s)) for s in ("train", "validation")), config)
     TfIdf.fit(selection.split(data, "train"), "dialogue").save(f"{config.root_dir}/model")
     return f"{config.root_dir}/model"
 
 
-def fine_tune(inputs: DataFrame, config) -> str:
-    """Fine-tunes a checkpoint by TorchDistributor, each process reading its part of ``inputs`` from Parquet, honouring the configured rates, steps and accumulation."""
+def fine_tune(inputs: DataFrame, validation_inputs: DataFrame, config) -> str:
+    """Fine-tunes a checkpoint on ``inputs`` in one process by TorchDistributor, evaluating on the others, with the configured rates, steps and accumulation. Rows are read from Parquet one at a time."""
     try:
         import torch  # noqa: F401
         import transformers  # noqa: F401
@@ -95,16 +101,30 @@ def fine_tune(inputs: DataFrame, config) -> str:
         raise RuntimeError("fine-tuning needs torch and transformers, which are not installed") from e
     from pyspark.ml.torch.distributor import TorchDistributor
 
-    path = f"{config.root_dir}/inputs"
-    inputs.write.mode("overwrite").parquet(path)
+    paths = [f"{config.root_dir}/{name}" for name in ("inputs", "validation_inputs")]
+    for df, path in zip((inputs, validation_inputs), paths):
+        df.write.mode("overwrite").parquet(path)
 
-    def work(path: str, options: dict, model: str, root: str) -> str:
+    def work(paths: list[str], options: dict, model: str, root: str) -> str:
         import pyarrow.dataset as ds
+        from torch.utils.data import Dataset
         from transformers import AutoModelForSeq2SeqLM, AutoTokenizer, DataCollatorForSeq2Seq, Trainer, TrainingArguments
 
         tokenizer, net = AutoTokenizer.from_pretrained(model), AutoModelForSeq2SeqLM.from_pretrained(model)
-        rows = ds.dataset(path).to_table().to_pylist()
-        trainer = Trainer(model=net, args=TrainingArguments(**options), data_collator=DataCollatorForSeq2Seq(tokenizer, model=net), train_dataset=rows)
+
+        class Rows(Dataset):
+            def __init__(self, path: str):
+                self.rows = ds.dataset(path)
+                self.n = self.rows.count_rows()
+
+            def __len__(self) -> int:
+                return self.n
+
+            def __getitem__(self, i: int) -> dict:
+                return self.rows.take([i]).to_pylist()[0]
+
+        own, other = map(Rows, paths)
+        trainer = Trainer(model=net, args=TrainingArguments(**options), data_collator=DataCollatorForSeq2Seq(tokenizer, model=net), train_dataset=own, eval_dataset=other)
         trainer.train()
         net.save_pretrained(f"{root}/model")
         tokenizer.save_pretrained(f"{root}/tokenizer")
@@ -113,18 +133,24 @@ def fine_tune(inputs: DataFrame, config) -> str:
     options = {
         "output_dir": config.root_dir, "num_train_epochs": config.num_train_epochs, "warmup_steps": config.warmup_steps, "per_device_train_batch_size": config.batch_size, "weight_decay": config.weight_decay,
         "logging_steps": config.logging_steps, "save_steps": int(config.save_steps), "gradient_accumulation_steps": config.accumulation_steps,
+        "eval_strategy": config.evaluation_strategy, "eval_steps": config.eval_steps,
     }
-    return TorchDistributor(num_processes=1, local_mode=True, use_gpu=False).run(work, path, options, config.model, config.root_dir)
+    return TorchDistributor(num_processes=1, local_mode=True, use_gpu=False).run(work, paths, options, config.model, config.root_dir)
 
 
-def summarizer_of(spark: SparkSession, model_path: str) -> Summarizer:
-    return Lead() if model_path.endswith("lead") else TfIdf.load(spark, model_path)
+def summarizer_of(spark: SparkSession, model_path: str, tokenizer_path: str | None = None, batch_size: int = 2) -> Summarizer:
+    """By what is stored there: the first lines (a path that ends in ``lead``), a fine-tuned checkpoint (a folder with a config.json), else TF-IDF frequencies."""
+    if model_path.endswith("lead"):
+        return Lead()
+    if os.path.exists(f"{model_path}/config.json"):
+        return Neural(model_path, tokenizer_path, batch=batch_size)
+    return TfIdf.load(spark, model_path)
 
 
 def evaluate(spark: SparkSession, config) -> str:
     """The metrics of the first rows of the test split, in a CSV file of one row."""
     data = selection.first_rows(selection.split(dialogues.read_dataset(spark, config.data_path, schemas.FEATURES), "test"), config.rows)
-    sinks.write_single_csv(evaluation.evaluate(data, summarizer_of(spark, config.model_path), config.newline_token), config.metric_file)
+    sinks.write_single_csv(evaluation.evaluate(data, summarizer_of(spark, config.model_path, config.tokenizer_path, config.batch_size), config.newline_token), config.metric_file)
     return config.metric_file
 
 

@@ -181,7 +181,7 @@ def rouge_summary(spark, d):
 
 def rouge_summary_compat(spark, d):
     test = selection.first_rows(selection.split(data(spark, d), "test"), 10)
-    return evaluation.evaluate(test, Lead(2), "", ["rouge1", "rouge2"])
+    return evaluation.evaluate(test, Lead(2), "")
 
 
 def _entries(spark, d) -> DataFrame:

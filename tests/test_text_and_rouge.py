@@ -87,3 +87,69 @@ def test_bootstrap(spark):
     assert got["mid"]["fmeasure"] == pytest.approx(mean, abs=error)
     assert got["low"]["fmeasure"] == pytest.approx(mean - 1.96 * error, abs=error / 2)
     assert got["high"]["fmeasure"] == pytest.approx(mean + 1.96 * error, abs=error / 2)
+
+
+def plain_places(reference, prediction):
+    rows = [[0] * (len(prediction) + 1) for _ in range(len(reference) + 1)]
+    for i, x in enumerate(reference):
+        for j, y in enumerate(prediction):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    i, j, out = len(reference), len(prediction), set()
+    while i and j:
+        if reference[i - 1] == prediction[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def test_places_against_plain():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        assert rouge.lcs_places(a, b) == plain_places(a, b)
+
+
+def test_grams(spark):
+    tokens = [["a", "b", "c", "d"], ["a"], [], ["a", "b"]]
+    df = spark.createDataFrame([(t,) for t in tokens], "t array<string>")
+    for n in (1, 2, 3):
+        got = [r[0] for r in df.select(rouge.grams(F.col("t"), n)).collect()]
+        assert got == [[" ".join(t[i : i + n]) for i in range(len(t) - n + 1)] for t in tokens]
+
+
+def test_summary_of_all_four_metrics(spark, data):
+    """The one-row summaries, from pairs scored one by one."""
+    from collections import Counter
+
+    from tessera.operators import selection
+    from tessera.plans import queries
+
+    def f(hit, p, r):
+        return 2 * hit / (p + r) if hit else 0.0
+
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+    rows = selection.first_rows(selection.split(queries.data(spark, data), "test"), 10).collect()
+    for query, spaced in ((queries.rouge_summary, False), (queries.rouge_summary_compat, True)):
+        sums = Counter()
+        for r in rows:
+            prediction = "\n".join((r["dialogue"] or "").split("\n")[:2])
+            prediction = prediction.replace("", " ") if spaced else prediction.replace("<n>", " ")
+            p, s = words(prediction), words(r["summary"])
+            for n, name in ((1, "rouge1"), (2, "rouge2")):
+                a, b = (Counter(zip(*[x[k:] for k in range(n)])) for x in (p, s))
+                sums[name] += f(sum((a & b).values()), sum(a.values()), sum(b.values()))
+            sums["rougeL"] += f(plain_lcs(p, s), len(p), len(s))
+            ours, theirs, hits = Counter(p), Counter(s), 0
+            for sentence in map(words, r["summary"].split("\n")):
+                for i in sorted(set().union(*(plain_places(sentence, words(x)) for x in prediction.split("\n")))):
+                    if ours[sentence[i]] and theirs[sentence[i]]:
+                        ours[sentence[i]] -= 1
+                        theirs[sentence[i]] -= 1
+                        hits += 1
+            sums["rougeLsum"] += f(hits, len(p), len(s))
+        got = query(spark, data).first().asDict()
+        assert got == pytest.approx({k: v / len(rows) for k, v in sums.items()}, abs=2e-6)
