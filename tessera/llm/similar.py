@@ -168,7 +168,7 @@ def _starts(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(cells: DataFrame, least: float) -> DataFrame:
-    """CELLS of (h, v, n, i): kind 0 is a pair (a, b) to check; kind 1 a row (h, v, n, i) of a large cell."""
+    """CELLS of (h, v, n, i, hot): kind 0 is a pair (a, b) to check; kind 1 a row (h, v, n, i) of a large cell. Hot rows are of large cells, and are dealt by their texts, not by ``h``."""
     names = [c.split()[0] for c in CELLS.split(", ")]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -179,9 +179,13 @@ def met(cells: DataFrame, least: float) -> DataFrame:
         return zero, a, b, zero, zero
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_ in _whole_cells(batches, 1):
-            new = np.concatenate(([True], (rows_[0][1:] != rows_[0][:-1]) | (rows_[1][1:] != rows_[1][:-1])))  # a text that several tasks saw
-            h, v, n, i = (x[new] for x in rows_)
+        for rows_ in _whole_cells(batches, 2):
+            new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in rows_[:3]], axis=0)))  # a text that several tasks saw
+            hot, h, v, n, i = (x[new] for x in rows_)
+            hot = hot.astype(bool)
+            if hot.any():
+                yield batch_of([(np.ones(int(hot.sum()), np.int32), h[hot], v[hot], n[hot], i[hot])])
+                h, v, n, i = (x[~hot] for x in (h, v, n, i))
             starts, sizes = _starts([h])
             two = starts[sizes == 2]
             two = two[_possible(n[two].astype(np.int64), i[two], n[two + 1].astype(np.int64), i[two + 1], least)]
@@ -199,7 +203,8 @@ def met(cells: DataFrame, least: float) -> DataFrame:
             if found:
                 yield batch_of(found)
 
-    dealt = cells.select("h", "v", "n", "i").repartition(partitions(cells.sparkSession), "h").sortWithinPartitions("h", "v")
+    by = F.when(F.col("hot"), F.xxhash64("v")).otherwise(F.col("h"))
+    dealt = cells.select("hot", "h", "v", "n", "i").repartition(partitions(cells.sparkSession), by).sortWithinPartitions("hot", "h", "v")
     return dealt.mapInArrow(run, CELLS)
 
 
@@ -305,9 +310,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
     joined = similar(same.union(near), docs, shingle, least, text)
 
     # what prefixes join besides
-    cells = cut(prefixes(docs, *frequent(docs, shingle, text), shingle, least, text))
-    found = cut(met(cells.where("not hot"), least))
-    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i").union(cells.where("hot").select("h", "v", "n", "i").distinct())
+    found = cut(met(prefixes(docs, *frequent(docs, shingle, text), shingle, least, text), least))
+    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i")
     roots = _roots(joined)
     hubs = hub_pairs(_with_parts(large, roots), least)
     joined = joined.union(similar(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), docs, shingle, least, text))
