@@ -27,7 +27,7 @@ SHINGLE, LEAST = 5, 0.8
 #: One of so many texts is in the sample; shingles of two or more of its texts come last, if they are among the most frequent ones.
 SAMPLE, FREQUENT = 8, 200_000
 #: A cell of more texts than this is searched in two steps; shingles of so many texts by the sample make no other cells. A block of its second step has about so many texts.
-LARGE_CELL, BLOCK = 64, 512
+LARGE_CELL, BLOCK = 64, 4096
 #: Bits of a text's bitmap, by which pairs of large cells are ruled out before their sets are compared.
 BITS = 1024
 #: The texts that pairs need are broadcast, by a number each, if they are at most so many.
@@ -294,10 +294,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(1)]
-            hashes = [shingle_hashes(w, shingle) for w in words]
-            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(w) for w in words], pa.int64()), pa.array(fps), batch.column(2), pa.array(map(bitmap, hashes), pa.binary())], ["doc_id", "v", "fp", "row", "bits"])
+            made = []
+            for t in batch.column(1):  # the words of one text at a time
+                words = words_of(t.as_py())
+                hashes = shingle_hashes(words, shingle)
+                made.append((text_key(words), majority(hashes), bitmap(hashes)))
+            v, fps, bits = zip(*made) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(2), pa.array(bits, pa.binary())], ["doc_id", "v", "fp", "row", "bits"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
     rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long, bits binary"))
