@@ -28,6 +28,8 @@ SEED, SHINGLE, THRESHOLD = 42, 3, 2
 GOLAY, HAMMING = (23, 0xAE3, 11, 3), (15, 0x13, 4, 1)
 #: (first bit, code) of the blocks; bits 61 to 63 stand for themselves.
 BLOCKS = ((0, GOLAY), (23, GOLAY), (46, HAMMING))
+#: The rows that go are broadcast if they are at most so many.
+BROADCAST_ROWS = 200_000
 #: A cell of more fingerprints than this is searched by looking up neighbours, which is linear in its size.
 LARGE_CELL = 2048
 
@@ -233,8 +235,10 @@ def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
     of a smaller doc_id go. Rows without a doc_id can't be told apart and stay.
     """
     own = docs.withColumn("_row", row_key(text))
-    others = found.where("doc_id <> component_id").select("doc_id", F.col("row").alias("_row")).distinct()
-    kept = own.join(others, ["doc_id", "_row"], "left_anti")
+    others = cut(found.where("doc_id <> component_id").select("doc_id", F.col("row").alias("_row")).distinct())
+    # few are broadcast, 16 bytes each, so that the texts stay where they are; else texts are shuffled
+    few = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    kept = own.join(few, ["doc_id", "_row"], "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept.select(*docs.columns)

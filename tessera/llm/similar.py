@@ -48,11 +48,11 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words, shingle).view(np.int64))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each of the BITS values that a hash has; sets differ in as many shingles as their bitmaps do in bits, or more."""
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Longs with a bit for each of the BITS values that a hash has; sets differ in as many shingles as their bitmaps do in bits, or more."""
     bits = np.zeros(BITS, np.uint8)
     bits[(hashes & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits).view(np.int64)
 
 
 def _least_of(n: np.ndarray | int, least: float) -> np.ndarray:
@@ -227,7 +227,7 @@ def part_pairs(large: DataFrame, bits: DataFrame, least: float) -> DataFrame:
             for at, many in zip(starts.tolist(), sizes.tolist()):
                 own = slice(at, at + many)
                 _, low, high, v, n, i, part, block, bits_ = (x[own] for x in rows_)
-                maps = np.frombuffer(b"".join(bits_), np.uint64).reshape(many, -1)
+                maps = np.concatenate(bits_).view(np.uint64).reshape(many, -1)
                 n = n.astype(np.int64)
                 for a, b in cell_pairs(np.arange(many), n, i, least, part):
                     apart = (block[a] != block[b]) | (low[0] == high[0])
@@ -284,6 +284,16 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
+def _fair(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """The (a, b) that may be similar by their numbers of shingles and their bitmaps (v, n, bits)."""
+    pairs = pairs.where("a <> b")
+    for c in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("v").alias(c), F.col("n").alias(f"_n{c}"), F.col("bits").alias(f"_{c}")), c)
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("_na") + F.col("_nb")
+    return pairs.where(F.floor((both - differ) / 2) >= F.ceil(both * F.lit(least / (1 + least)) - 1e-9)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id, row, root) for each row: the smallest doc_id that pairs of a similarity of ``least`` or more reach.
 
@@ -298,28 +308,29 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
             for t in batch.column(1):  # the words of one text at a time
                 words = words_of(t.as_py())
                 hashes = shingle_hashes(words, shingle)
-                made.append((text_key(words), majority(hashes), bitmap(hashes)))
-            v, fps, bits = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(2), pa.array(bits, pa.binary())], ["doc_id", "v", "fp", "row", "bits"])
+                made.append((text_key(words), majority(hashes), len(np.unique(hashes)), bitmap(hashes)))
+            v, fps, n, bits = zip(*made) if made else ((), (), (), ())
+            columns = [pa.array(v, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(2), pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "v", "fp", "row", "n", "bits"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
-    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long, bits binary"))
+    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long, n int, bits array<long>"))
 
     # what anchors join: texts of one fingerprint with the first of them, and these with those of near fingerprints
+    bits = cut(rows.groupBy("v").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
     first = rows.groupBy("fp").agg(F.min("v").alias("first"))
     same = join_sums(rows.select("v", "fp").distinct(), first, ["fp"]).select(F.col("v").alias("a"), F.col("first").alias("b"))
     near = links(at_anchors(first, THRESHOLD), THRESHOLD)
     near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    joined = similar(same.union(near), docs, shingle, least, text)
+    joined = similar(_fair(same.union(near), bits, least), docs, shingle, least, text)
 
     # what prefixes join besides
     found = cut(met(prefixes(docs, *frequent(docs, shingle, text), shingle, least, text), least))
     large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i")
     roots = _roots(joined)
     hubs = hub_pairs(_with_parts(large, roots), least)
-    joined = joined.union(similar(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), docs, shingle, least, text))
-    bits = rows.groupBy("v").agg(F.first("bits").alias("bits"))
-    rest = part_pairs(_with_parts(large, _roots(joined)), bits, least)
+    joined = joined.union(similar(_fair(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), bits, least), docs, shingle, least, text))
+    rest = part_pairs(_with_parts(large, _roots(joined)), bits.drop("n"), least)
     joined = joined.union(similar(rest, docs, shingle, least, text))
     star = stars(joined)
     texts = rows.groupBy("v").agg(F.min("doc_id").alias("_least"))
