@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, cut_small
+
+#: A file of a step holds about so many edges, 16 bytes each.
+EDGES = 1 << 16
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -38,4 +41,4 @@ def stars(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now
         seen = mark
-        now = cut(_small(_large(now).distinct()).distinct())
+        now = cut_small(_small(_large(now).distinct()).distinct(), mark[0], EDGES)

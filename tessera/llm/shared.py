@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, partitions, shared_dir
 
-__all__ = ["cut", "join_sums", "partitions", "shared_dir", "table"]
+__all__ = ["cut", "cut_small", "join_sums", "partitions", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_small(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """As :func:`cut`, for a table of about ``rows`` rows: a file for each ``each`` of them, and no more files than ``df`` has partitions.
+
+    Adaptive execution merges small partitions too, but not where that is off or the partitions' number was asked for.
+    """
+    return cut(df.coalesce(max(1, -(-rows // each))))
+
+
 def join_sums(rows: DataFrame, sums: DataFrame, on: list[str], hint: str | None = None) -> DataFrame:
     """``rows`` joined with ``sums``, an aggregate that has a row for each value of ``on``, so that the rows of a frequent value may be several tasks'.
 

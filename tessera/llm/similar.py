@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import cut, join_sums, partitions
+from .shared import cut, cut_small, join_sums, partitions
 from .simhash import SEED, THRESHOLD, at_anchors, links, majority, row_key, shingle_hashes, words_of
 
 SHINGLE, LEAST = 5, 0.8
@@ -32,6 +32,8 @@ LARGE_CELL, BLOCK = 64, 4096
 BITS = 1024
 #: The texts that pairs need are broadcast, by a number each, if they are at most so many.
 BROADCAST_ROWS = 200_000
+#: A file of the sets, and of the pairs whose sets were compared, is for about so many.
+SETS = 4096
 CELLS = "kind int, a long, b long, n int, i int"
 PAIRS = 1 << 18
 
@@ -260,17 +262,18 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["v", "h"])
 
     keyed = docs.select(F.col(text).alias("text")).mapInArrow(keys, "v long, text string")
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = cut(keyed.join(few, "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v long, h array<long>"))
+    n_pairs, n_texts = own.count(), needed.count()
+    few = F.broadcast(needed) if n_texts <= BROADCAST_ROWS else needed
+    sets = cut_small(keyed.join(few, "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v long, h array<long>"), n_texts, SETS)
     first = own.join(sets.select(F.col("v").alias("a"), F.col("h").alias("_a")), "a")
     both = first.join(sets.select(F.col("v").alias("b"), F.col("h").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return cut(both.where(shared >= F.lit(least) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return cut_small(both.where(shared >= F.lit(least) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")), n_pairs, SETS)
 
 
-def _roots(joined: DataFrame) -> DataFrame:
-    """(v, root) of the texts that links join to a lesser one."""
-    return stars(joined).select(F.col("u").alias("v"), F.col("v").alias("root"))
+def _roots(star: DataFrame) -> DataFrame:
+    """(v, root) of the texts that a star (u, v) joins to a lesser one."""
+    return star.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
 def _with_parts(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -322,17 +325,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
     same = join_sums(rows.select("v", "fp").distinct(), first, ["fp"]).select(F.col("v").alias("a"), F.col("first").alias("b"))
     near = links(at_anchors(first, THRESHOLD), THRESHOLD)
     near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    joined = similar(_fair(same.union(near), bits, least), docs, shingle, least, text)
+    star = stars(similar(_fair(same.union(near), bits, least), docs, shingle, least, text))
 
     # what prefixes join besides
     found = cut(met(prefixes(docs, *frequent(docs, shingle, text), shingle, least, text), least))
     large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "i")
-    roots = _roots(joined)
+    roots = _roots(star)
     hubs = hub_pairs(_with_parts(large, roots), least)
-    joined = joined.union(similar(_fair(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), bits, least), docs, shingle, least, text))
-    rest = part_pairs(_with_parts(large, _roots(joined)), bits.drop("n"), least)
-    joined = joined.union(similar(rest, docs, shingle, least, text))
-    star = stars(joined)
+    star = stars(star.union(similar(_fair(_apart(found.where("kind = 0").select("a", "b").union(hubs).distinct(), roots), bits, least), docs, shingle, least, text)))
+    rest = part_pairs(_with_parts(large, _roots(star)), bits.drop("n"), least)
+    star = stars(star.union(similar(rest, docs, shingle, least, text)))
     texts = rows.groupBy("v").agg(F.min("doc_id").alias("_least"))
     rooted = texts.join(star.select(F.col("u").alias("v"), F.col("v").alias("_root")), "v", "left").select("v", "_least", F.coalesce("_root", "v").alias("_root"))
     ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
