@@ -33,7 +33,8 @@ BITS = 1024
 #: The texts that pairs need are broadcast, by a number each, if they are at most so many.
 BROADCAST_ROWS = 200_000
 CELLS = "kind int, a long, b long, n int, i int"
-PAIRS = 1 << 18
+#: So many pairs of a cell are looked at in one go, and the bitmaps of so many are compared in one go (8 MB a side).
+PAIRS, COMPARED = 1 << 18, 1 << 16
 
 
 def text_key(words: list[bytes]) -> int:
@@ -232,9 +233,12 @@ def part_pairs(large: DataFrame, bits: DataFrame, least: float) -> DataFrame:
                 for a, b in cell_pairs(np.arange(many), n, i, least, part):
                     apart = (block[a] != block[b]) | (low[0] == high[0])
                     a, b = a[apart], b[apart]
-                    differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-                    fair = (n[a] + n[b] - differ) // 2 >= _least_of(n[a] + n[b], least / (1 + least))
-                    yield pa.RecordBatch.from_arrays([pa.array(v[a[fair]]), pa.array(v[b[fair]])], ["a", "b"])
+                    for k in range(0, len(a), COMPARED):
+                        x, y = a[k : k + COMPARED], b[k : k + COMPARED]
+                        differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+                        fair = (n[x] + n[y] - differ) // 2 >= _least_of(n[x] + n[y], least / (1 + least))
+                        if fair.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(v[x[fair]]), pa.array(v[y[fair]])], ["a", "b"])
 
     mixed = large.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("m")).where("_low <> _high").select("h", "m")
     own = join_sums(large, mixed, ["h"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
