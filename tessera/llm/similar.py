@@ -269,7 +269,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text:
     first = own.join(sets.select(F.col("v").alias("a"), F.col("h").alias("_a")), "a")
     both = first.join(sets.select(F.col("v").alias("b"), F.col("h").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return cut(both.where(shared >= F.lit(least) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return both.where(shared >= F.lit(least) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _roots(star: DataFrame) -> DataFrame:
