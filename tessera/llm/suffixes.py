@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from . import superwindows as sw
@@ -41,8 +42,12 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return x
 
 
-def scan(length: int):
-    """The runs of many texts, for superwindows.runs."""
+def text_grams(text: str) -> np.ndarray:
+    return gram_hashes(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+
+
+def scan(length: int, common: Broadcast | None = None):
+    """The runs of many texts, for superwindows.runs; ``common``: the table of common grams."""
     width = length - GRAM + 1
 
     def block(parts: list[tuple[int, int, bytes]]):
@@ -52,7 +57,7 @@ def scan(length: int):
         begins = ends - sizes
         edge = np.zeros(len(raw) + 1, np.int8)
         edge[begins], edge[ends - length + 1] = 1, -1
-        start, count, anchor, gram = sw.runs_of(gram_hashes(raw), np.cumsum(edge[:-1], dtype=np.int8) > 0, width)
+        start, count, anchor, gram = sw.runs_of(gram_hashes(raw), np.cumsum(edge[:-1], dtype=np.int8) > 0, width, common.value if common else None)
         part = np.searchsorted(begins, start, side="right") - 1
         shift = np.array([at for _, at, _ in parts], np.int64)[part] - begins[part]
         return np.array([i for i, _, _ in parts], np.int64)[part], sw.pack_run(start + shift, count, anchor + shift), gram
@@ -203,7 +208,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     """The dealt texts, and (doc_id, key, removed) with the (start, count) of strings of ``length`` bytes that occur earlier."""
     if not GRAM <= length <= GRAM + 200:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 200} bytes")
-    return sw.search(docs, scan(length), window_hashes(length), cover(length), find(length), within=True)
+    return sw.search(docs, lambda common: scan(length, common), text_grams, length - GRAM + 1, window_hashes(length), cover(length), find(length), within=True)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

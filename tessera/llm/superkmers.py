@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,13 @@ def gram_hashes(words: np.ndarray) -> np.ndarray:
     return x
 
 
-def scan(window: int):
-    """The runs of many texts, for superwindows.runs."""
+def text_grams(text: str) -> np.ndarray:
+    words = words_of(text)
+    return gram_hashes(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+
+
+def scan(window: int, common: Broadcast | None = None):
+    """The runs of many texts, for superwindows.runs; ``common``: the table of common grams."""
 
     def block(parts: list[tuple[int, int, list[bytes]]]):
         sizes = np.array([len(p) for _, _, p in parts], np.int64)
@@ -50,7 +56,7 @@ def scan(window: int):
         hashes = np.concatenate([np.fromiter(map(zlib.crc32, p), np.uint64, len(p)) for _, _, p in parts])
         edge = np.zeros(len(hashes) + 1, np.int8)
         edge[begins], edge[ends - window + 1] = 1, -1
-        start, count, anchor, gram = sw.runs_of(gram_hashes(hashes), np.cumsum(edge[:-1], dtype=np.int8) > 0, window - GRAM + 1)
+        start, count, anchor, gram = sw.runs_of(gram_hashes(hashes), np.cumsum(edge[:-1], dtype=np.int8) > 0, window - GRAM + 1, common.value if common else None)
         part = np.searchsorted(begins, start, side="right") - 1
         shift = np.array([at for _, at, _ in parts], np.int64)[part] - begins[part]
         return np.array([i for i, _, _ in parts], np.int64)[part], sw.pack_run(start + shift, count, anchor + shift), gram
@@ -141,7 +147,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     """The dealt texts, and (doc_id, key, removed) with the (start, count) of windows that a smaller doc_id has."""
     if not GRAM <= window <= GRAM + 200:
         raise ValueError("window must be from 16 to 216 words")
-    return sw.search(docs, scan(window), window_hashes(window), cover(window), find(window), within=False)
+    return sw.search(docs, lambda common: scan(window, common), text_grams, window - GRAM + 1, window_hashes(window), cover(window), find(window), within=False)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -8,16 +8,20 @@ does. The steps, all keyed by hashes and none of them over all pairs:
    Whole copies of the text of a smaller doc_id are found by digest, and take part in the last
    step only,
 2. minimisers are counted, a batch's before they are shuffled; runs whose minimiser occurs once
-   are done with, the others go back to their document,
-3. runs of a hot minimiser (more than HOT in the corpus) are cut into single windows, which take
-   step 2 again by a hash of the whole window,
+   are done with, the others go back to their document. Grams that a sample of the texts has often
+   are a window's minimiser only where it has no other,
+3. runs of a minimiser that is hot (more than HOT in the corpus) though the sample does not have it
+   often are cut into single windows, which take step 2 again by a hash of the whole window,
 4. super-windows (the text that a run's windows cover) travel to their minimiser's, or window's, bucket,
 5. the bucket finds the windows that occur earlier, by sorting their content,
 6. each document puts its windows together.
 
-Hashes only choose who is compared with whom; what goes is always decided by content. Step 3
-is there since a passage that a third of all rows hold makes super-windows at its edges that all
-differ and would all meet at the passage's minimisers. By itself, the passage gives a bucket as
+Hashes only choose who is compared with whom; what goes is always decided by content. So does the
+sample: which grams are common is one table for all windows, so equal windows still have equal
+minimisers. It is there since a passage that a third of all rows hold makes super-windows at its
+edges that all differ and would all meet at the passage's minimisers; they have grams that reach
+over the edge, which are rare, and meet at these, a run or two for each edge and not a row for each
+window. Step 3 is for what the sample misses, such as a line that one document repeats. By itself, the passage gives a bucket as
 many rows as there were batches: a batch sends one row of equal super-windows, marks those of
 larger documents by itself, and notes the further places in one document beside the first.
 Documents are known by doc_id and a hash of their text together, so that colliding hashes of
@@ -31,6 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ COUNT_BITS = 8
 LAST = (1 << 63) - 1
 #: Runs of one minimiser in the corpus beyond which they are cut into single windows, and so share no bucket.
 HOT = 2_000
+#: The most frequent grams of the sample that are marked as common, in a table of so many slots, by their hashes' first bits.
+COMMON, SLOTS = 100_000, 1 << 20
 ID = ["doc_id", "key"]
 LOW = np.uint64(0xFFFFFF)
 
@@ -69,12 +76,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs_of(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, windows, minimiser's place and hash of each run. ``grams``: a hash for each place; ``valid``: which windows (of ``width`` grams) there are. At most 2**24 places."""
+def slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
+def runs_of(grams: np.ndarray, valid: np.ndarray, width: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, windows, minimiser's place and hash of each run. ``grams``: a hash for each place; ``valid``: which windows (of ``width`` grams) there are. At most 2**24 places.
+
+    With a table ``common`` (1 in the slots of common grams) these come after all others, and the last bit of the hash says whether the minimiser is one.
+    """
     none = np.zeros(0, np.int64)
     if len(grams) < width or not valid.any():
         return none, none, none, none.astype(np.uint64)
-    least = sliding_min((grams & ~LOW) | np.arange(len(grams), dtype=np.uint64), width)
+    order = grams
+    if common is not None:
+        marks = common[slot(grams)].astype(np.uint64)
+        order = (grams >> np.uint64(1)) | (marks << np.uint64(63))
+        grams = (grams & ~np.uint64(1)) | marks
+    least = sliding_min((order & ~LOW) | np.arange(len(grams), dtype=np.uint64), width)
     at = np.flatnonzero(valid[: len(least)])
     own = least[at]
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)))
@@ -142,6 +161,42 @@ def tally(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]])
     return source.mapInArrow(run, "gram long, m long")
 
 
+def common_grams(docs: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], grams: Callable[[str], np.ndarray], width: int) -> Broadcast | None:
+    """The table for :func:`runs_of` of grams around minimisers that a sample of the different texts has often, or None if there are none.
+
+    The sample has one text in ``share``, so that a minimiser of HOT runs is expected to be in it about 32 times; a quarter of that is often.
+    """
+    share = max(1, HOT // 32)
+    often = max(2, HOT // (4 * share))
+    sample = cut(_known(docs, "text", "doc_id").where(F.pmod("key", F.lit(share)) == 0).dropDuplicates(["key"]))
+
+    def most(found: DataFrame) -> np.ndarray:
+        top = found.groupBy("gram").agg(F.sum("m").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+        return np.sort(top.column("gram").to_numpy())
+
+    hot = most(tally(sample, lambda batch: scan(batch.column(2))))
+    if not len(hot):
+        return None
+    known = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def around(batch: pa.RecordBatch) -> Iterator[tuple]:
+        values = known.value
+        found = [(owner, run, gram.view(np.int64)) for owner, run, gram in scan(batch.column(2))]
+        if not found:
+            return
+        owner, run, gram = (np.concatenate(x) for x in zip(*found))
+        own = values[np.minimum(np.searchsorted(values, gram), len(values) - 1)] == gram
+        owner, run = owner[own], run[own]
+        for i in np.unique(owner).tolist():
+            start, count, _ = unpack_run(run[owner == i])
+            every = grams(batch.column(2)[i].as_py())
+            yield None, None, every[spans(len(every), start, count, width)]
+
+    table = np.zeros(SLOTS, np.uint8)
+    table[slot(most(tally(sample, around)).view(np.uint64))] = 1
+    return docs.sparkSession.sparkContext.broadcast(table)
+
+
 def places(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
     """(gram, doc_id, key, run) of each run of ``scan``, which gives (row's number, packed run, hash) of a batch."""
 
@@ -164,8 +219,11 @@ def of_documents(found: DataFrame) -> DataFrame:
     return found.groupBy(*ID).agg(F.collect_set(F.struct("run", "gram")).alias("runs"))
 
 
-def candidates(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], window_hashes: Callable[[str], np.ndarray]) -> DataFrame:
-    """(doc_id, key, runs): of each document, the (run, gram) that another run shares; those of hot minimisers as single windows."""
+def candidates(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], window_hashes: Callable[[str], np.ndarray], marked: bool = False) -> DataFrame:
+    """(doc_id, key, runs): of each document, the (run, gram) that another run shares; those of hot minimisers as single windows.
+
+    ``marked``: the last bit of a gram says that it is common. Its runs hold common grams only, so few super-windows differ, and they stay whole.
+    """
 
     def whole(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield from scan(batch.column(2))
@@ -177,8 +235,10 @@ def candidates(texts: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], w
             yield np.full(len(at), i), pack_run(at, np.ones(len(at), np.int64), np.repeat(anchor, count)), window_hashes(text.as_py())[at]
 
     every = repeated(texts, whole)
-    hot = texts.join(of_documents(every.where(F.col("n") > HOT)).hint("shuffle_hash"), ID).select(*ID, "text", "runs")
-    found = every.where(F.col("n") <= HOT).drop("n").unionByName(repeated(hot, windows).drop("n"))
+    # one comparison: a condition on the gram alone would be pushed below exchanges, which could then not be shared
+    many = F.col("n") * (1 - F.col("gram").bitwiseAND(F.lit(1)) if marked else F.lit(1)) > HOT
+    hot = texts.join(of_documents(every.where(many)).hint("shuffle_hash"), ID).select(*ID, "text", "runs")
+    found = every.where(~many).drop("n").unionByName(repeated(hot, windows).drop("n"))
     return of_documents(found)
 
 
@@ -282,11 +342,13 @@ def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
     return found.groupBy(*ID).agg(F.collect_list(F.struct("start", "count")).alias("removed"))
 
 
-def search(docs: DataFrame, scan: Callable, window_hashes: Callable, cover: Callable, find: Callable, within: bool) -> tuple[DataFrame, DataFrame]:
-    """The dealt texts, and (doc_id, key, removed) with the (start, count) of the windows that occur earlier; -1 for all of a copy."""
+def search(docs: DataFrame, scan: Callable, grams: Callable, width: int, window_hashes: Callable, cover: Callable, find: Callable, within: bool) -> tuple[DataFrame, DataFrame]:
+    """The dealt texts, and (doc_id, key, removed) with the (start, count) of the windows that occur earlier; -1 for all of a copy. ``scan`` makes a scan with a table of common grams or None."""
+    common = common_grams(docs, scan(None), grams, width)
     texts, copied = dealt(docs), copies(docs)
     own = originals(texts, copied)
-    return texts, with_copies(earlier(packed(texts, candidates(own, scan, window_hashes), cover, within), find), copied)
+    found = candidates(own, scan(common), window_hashes, common is not None)
+    return texts, with_copies(earlier(packed(texts, found, cover, within), find), copied)
 
 
 def apply(texts: DataFrame, removed: DataFrame, make: Callable[[str, np.ndarray, np.ndarray], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:

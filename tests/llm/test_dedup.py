@@ -49,6 +49,23 @@ def test_hot_minimisers(docs, odd, monkeypatch, most):
     assert rows(superkmers.dedup(docs(own)), *OP10) == brute.op10(own)
 
 
+@pytest.mark.parametrize("op, names, plain", [(suffixes, OP9, brute.op9), (superkmers, OP10, brute.op10)])
+def test_edges_of_a_common_passage_are_not_cut_into_windows(docs, monkeypatch, op, names, plain):
+    monkeypatch.setattr(sw, "HOT", 20)
+    rng = random.Random(6)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passage, cut, repeated = text(70), [], sw.repeated
+
+    def counted(source, scan):
+        cut.append(sw.places(source, scan).count())
+        return repeated(source, scan)
+
+    monkeypatch.setattr(sw, "repeated", counted)
+    own = [(k, f"{text(40)} {passage} {text(40)}") for k in range(120)]
+    assert rows(op.dedup(docs(own)), *names) == plain(own)
+    assert len(cut) == 2 and cut[1] < len(own)
+
+
 def test_colliding_keys(docs, odd, monkeypatch):
     from pyspark.sql import functions as F
 
