@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import freed, table
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: The fit reads so many documents a language.
@@ -192,7 +192,7 @@ def predicted(docs: DataFrame, net: ByteCNN, names: tuple[str, str] = ("lang_pre
                 flush()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
-    return docs.select(*keep).mapInArrow(run, T.StructType([*kinds.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return docs.select(*keep).mapInArrow(freed(run), T.StructType([*kinds.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:

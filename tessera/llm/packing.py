@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions, table
+from .shared import cut, freed, partitions, table
 
 CAP, SEPARATOR = 1024, 2
 #: Distinct words that a worker remembers the ids of; beyond it the memory starts anew.
@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, cap: int = CAP, separator: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freed(run), PIECES)
 
 
 class Sums:

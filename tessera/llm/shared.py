@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, partitions, shared_dir
 
-__all__ = ["cut", "cut_small", "join_sums", "partitions", "shared_dir", "table"]
+__all__ = ["cut", "cut_small", "freed", "join_sums", "partitions", "shared_dir", "table"]
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +39,26 @@ def join_sums(rows: DataFrame, sums: DataFrame, on: list[str], hint: str | None
     by = (F.xxhash64(*on) == 0).alias("_side")
     right = sums.select("*", by)
     return rows.select("*", by).join(right.hint(hint) if hint else right, [*on, "_side"]).drop("_side")
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed; allocators keep most of it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, after whose last batch the worker gives its freed memory back.
+
+    Workers stay for the tasks that follow, of whatever stage, and count as their executor's memory
+    while they wait or do smaller work.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return wrapped

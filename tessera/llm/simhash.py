@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import cut, partitions, table
+from .shared import cut, freed, partitions, table
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Generator polynomials of the (23, 12) Golay code and of the (15, 11) Hamming code, and the errors each corrects.
@@ -135,7 +135,7 @@ def at_anchors(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 new[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), pa.array(np.repeat(own, new.sum(axis=1)).view(np.int64))], ["anchor", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+    return fps.select("fp").mapInArrow(freed(run), "anchor long, fp long")
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -210,7 +210,7 @@ def links(cells: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     dealt = cells.repartition(partitions(cells.sparkSession), "anchor").sortWithinPartitions("anchor", F.expr("fp < 0"), "fp")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(freed(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import cut, join_sums, partitions
+from .shared import cut, freed, join_sums, partitions
 from .simhash import SEED, THRESHOLD, at_anchors, links, majority, row_key, shingle_hashes, words_of
 
 SHINGLE, LEAST = 5, 0.8
@@ -83,7 +83,7 @@ def _texts(docs: DataFrame, make, schema: str, text: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("text")).mapInArrow(freed(run), schema)
 
 
 def frequent(docs: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def met(cells: DataFrame, least: float) -> DataFrame:
 
     by = F.when(F.col("hot"), F.xxhash64("v")).otherwise(F.col("h"))
     dealt = cells.select("hot", "h", "v", "n", "i").repartition(partitions(cells.sparkSession), by).sortWithinPartitions("hot", "h", "v")
-    return dealt.mapInArrow(run, CELLS)
+    return dealt.mapInArrow(freed(run), CELLS)
 
 
 def hub_pairs(large: DataFrame, least: float) -> DataFrame:
@@ -245,7 +245,7 @@ def part_pairs(large: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     own = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(bits, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = own.repartition(partitions(large.sparkSession), "h", "low", "high").sortWithinPartitions("h", "low", "high")
-    return dealt.select("h", "low", "high", "v", "n", "i", "part", "block", "bits").mapInArrow(run, "a long, b long")
+    return dealt.select("h", "low", "high", "v", "n", "i", "part", "block", "bits").mapInArrow(freed(run), "a long, b long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
@@ -263,9 +263,9 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text:
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["v", "h"])
 
-    keyed = docs.select(F.col(text).alias("text")).mapInArrow(keys, "v long, text string")
+    keyed = docs.select(F.col(text).alias("text")).mapInArrow(freed(keys), "v long, text string")
     few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = cut(keyed.join(few, "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v long, h array<long>"))
+    sets = cut(keyed.join(few, "v", "left_semi").dropDuplicates(["v"]).mapInArrow(freed(run), "v long, h array<long>"))
     first = own.join(sets.select(F.col("v").alias("a"), F.col("h").alias("_a")), "a")
     both = first.join(sets.select(F.col("v").alias("b"), F.col("h").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -318,7 +318,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, t
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "v", "fp", "row", "n", "bits"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text).alias("row"))
-    rows = cut(own.mapInArrow(run, "doc_id long, v long, fp long, row long, n int, bits array<long>"))
+    rows = cut(own.mapInArrow(freed(run), "doc_id long, v long, fp long, row long, n int, bits array<long>"))
 
     # what anchors join: texts of one fingerprint with the first of them, and these with those of near fingerprints
     bits = cut(rows.groupBy("v").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))

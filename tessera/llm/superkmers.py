@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superwindows as sw
-from .shared import table
+from .shared import freed, table
 
 WINDOW, GRAM = 50, 16
 #: Words that are scanned at a time; longer texts are scanned in overlapping parts.
@@ -199,7 +199,7 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     columns[n_chars] = pa.array(sizes, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns[:-1], docs_names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(freed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

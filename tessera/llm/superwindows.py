@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, join_sums, partitions
+from .shared import cut, freed, join_sums, partitions
 
 #: A run as one long: its first window, the number of windows, and the minimiser's distance from the first.
 COUNT_BITS = 8
@@ -158,7 +158,7 @@ def tally(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]])
                 own, m = np.unique(gram, return_counts=True)
                 yield rows([own.view(np.int64), m], ["gram", "m"], [pa.int64()] * 2)
 
-    return source.mapInArrow(run, "gram long, m long")
+    return source.mapInArrow(freed(run), "gram long, m long")
 
 
 def common_grams(docs: DataFrame, scan: Callable[[list[str]], Iterator[tuple]], grams: Callable[[str], np.ndarray], width: int) -> Broadcast | None:
@@ -206,7 +206,7 @@ def places(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]])
             for owner, packed_, gram in scan(batch):
                 yield rows([gram.view(np.int64), ids[owner], keys[owner], packed_], ["gram", *ID, "run"], [pa.int64()] * 4)
 
-    return source.mapInArrow(run, "gram long, doc_id long, key long, run long")
+    return source.mapInArrow(freed(run), "gram long, doc_id long, key long, run long")
 
 
 def repeated(source: DataFrame, scan: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
@@ -290,7 +290,7 @@ def packed(texts: DataFrame, found: DataFrame, cover: Callable[[str, np.ndarray]
             if out[0]:
                 yield rows(out, PACKED, PACKED_KINDS)
 
-    return texts.join(found, ID).select(*ID, "text", "runs").mapInArrow(run, "gram long, doc_id long, key long, run long, body binary, also array<long>")
+    return texts.join(found, ID).select(*ID, "text", "runs").mapInArrow(freed(run), "gram long, doc_id long, key long, run long, body binary, also array<long>")
 
 
 def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
@@ -338,7 +338,7 @@ def earlier(sent: DataFrame, find: Callable, most: int = 4 << 20) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    found = by.select("bucket", *ID, "run", "body", "also").mapInArrow(run, "doc_id long, key long, start long, count long")
+    found = by.select("bucket", *ID, "run", "body", "also").mapInArrow(freed(run), "doc_id long, key long, start long, count long")
     return found.groupBy(*ID).agg(F.collect_list(F.struct("start", "count")).alias("removed"))
 
 
